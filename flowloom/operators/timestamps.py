@@ -27,7 +27,7 @@ ABBREVIATIONS = {
     "IST": "+05:30", "JST": "+09:00", "AEST": "+10:00", "AEDT": "+11:00",
 }
 
-ZONE = r"\s*(Z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5}|[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+)?"
+ZONE = r"\s*(Z|[+-]\d{2}(?::?\d{2})?|[A-Za-z]{2,5}|[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+)?(?:\[[^\]]*\])?"
 CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d+))?)?\s*(?:([AaPp][Mm])(?![A-Za-z]))?"
 ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[Tt]|\s+)" + CLOCK + ZONE + "$"
 SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4}),?\s+" + CLOCK + ZONE + "$"
@@ -150,7 +150,8 @@ def normalise_timestamps(
     j = p.join(mix, F.col(f"`{source}`").eqNullSafe(F.col("__s2")), "left")
     mdy, dmy, theta, prior = F.col("__p.mdy"), F.col("__p.dmy"), F.col("p_mdy"), F.col("prior")
     reading = (
-        F.when(~slash, F.col("__p.shape"))
+        F.when(F.col("__p.shape").isNull(), F.lit(None))
+        .when(~slash, F.col("__p.shape"))
         .when(prior == 1.0, F.lit("mdy"))
         .when(prior == 0.0, F.lit("dmy"))
         .when(mdy.isNull() & dmy.isNull(), F.lit(None))

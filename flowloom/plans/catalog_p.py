@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.labels import class_key
-from flowloom.operators import balanced, timestamps
+from flowloom.operators import badrows, balanced, drift, timestamps
 from flowloom.session import table
 
 EDGE = ["src", "dst", "weight", "edge_type"]
@@ -56,11 +56,41 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ok.groupBy("table_name", "node_id").agg(F.min("instant_us").alias("epoch_us"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return drift.schema_changes(table(spark, d, "raw_flows"), table(spark, d, "capture_files"))
+
+
+def p4_unified(spark: SparkSession, d: str) -> DataFrame:
+    lines, files = table(spark, d, "raw_flows"), table(spark, d, "capture_files")
+    return drift.unified_lines(lines, files, drift.schema_changes(lines, files))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = badrows.line_errors(table(spark, d, "raw_flows"))
+    vectors = badrows.vector_errors(table(spark, d, "phase2_features"), "node_id", "features")
+    a = lines.select(F.lit("raw_flows").alias("table_name"), F.col("line_id").alias("record_id"), "reason")
+    return a.unionByName(vectors.select(F.lit("phase2_features").alias("table_name"), F.col("node_id").alias("record_id"), "reason"))
+
+
+def p7_clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "raw_flows")
+    return badrows.clean_lines(lines, badrows.line_errors(lines))
+
+
+def p7_clean_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return badrows.parsed_vectors(table(spark, d, "phase2_features").select("node_id", "features"), "node_id", "features").select("node_id", "vector")
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_bucket_counts": p3_bucket_counts,
     "p3_class_counts": p3_class_counts,
     "p3_edge_rank": p3_edge_rank,
+    "p4_found": p4_found,
+    "p4_unified": p4_unified,
     "p6_found": p6_found,
     "p6_instants": p6_instants,
+    "p7_found": p7_found,
+    "p7_clean_lines": p7_clean_lines,
+    "p7_clean_vectors": p7_clean_vectors,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import overlap
+from flowloom.llm import overlap, truncation
 from flowloom.session import table
 
 
@@ -22,7 +22,17 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_sampled(spark, d), "node_id", "features", "split", "source")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged_texts(table(spark, d, "documents")).where("cut is not null").select(F.col("id").alias("doc_id"))
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_report(truncation.judged_texts(table(spark, d, "documents")))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p10_found": p10_found,
+    "p10_report": p10_report,
 }

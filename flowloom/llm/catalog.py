@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import overlap, truncation
-from flowloom.session import table
+from flowloom.functions.labels import class_key
+from flowloom.llm import mixing, overlap, packing, quota, truncation
+from flowloom.llm.tokens import TOKENIZER, token_counter
+from flowloom.session import checkpointed, table
 
 
 def _sampled(spark: SparkSession, d: str) -> DataFrame:
@@ -22,6 +24,63 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_sampled(spark, d), "node_id", "features", "split", "source")
 
 
+def _quota(spark: SparkSession, d: str):
+    """class_targets and label_vocab are fixed tables of at most 16 rows."""
+    vocab = table(spark, d, "label_vocab").select(F.col("label_multiclass").alias("__id"), F.col("attack_type").alias("__name"))
+    s = _sampled(spark, d).select("node_id", "attack_type", "label_multiclass", "source", "split")
+    s = s.join(F.broadcast(vocab), F.col("label_multiclass") == F.col("__id"), "left").withColumn("class", class_key(F.col("attack_type"), F.col("__name"))).drop("__id", "__name")
+    targets = {r["attack_type"]: (r["target_share"], r["min_rows"]) for r in table(spark, d, "class_targets").collect()}
+    return quota.quota_sample(s, "node_id", ["class"], [targets])
+
+
+def p5_sample(spark: SparkSession, d: str) -> DataFrame:
+    return _quota(spark, d)[0]
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    sample, report = _quota(spark, d)
+    return quota.quota_report(spark, sample, report)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_report(spark, d).where("not met").select(F.col("category").alias("attack_type"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "parent_id", "text")
+    return packing.packed(packing.measured(docs), docs.count())
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("pieces > 1 and piece = 0").select("doc_id")
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(_packed(spark, d))
+
+
+def _mixture(spark: SparkSession, d: str, tokenizer: str = TOKENIZER):
+    items = table(spark, d, "documents").select("doc_id", "source", token_counter(tokenizer)("text").alias("tokens"))
+    # tokenised once, read for the totals and for the streams
+    return mixing.mixture(checkpointed(items), table(spark, d, "source_targets"))
+
+
+def p9_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p9_report(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(*_mixture(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_report(spark, d).where("not met").select("source")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.judged_texts(table(spark, d, "documents")).where("cut is not null").select(F.col("id").alias("doc_id"))
 
@@ -33,6 +92,15 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+    "p5_sample": p5_sample,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_report": p9_report,
+    "p9_schedule": p9_schedule,
     "p10_found": p10_found,
     "p10_report": p10_report,
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.labels import class_key
-from flowloom.llm import mixing, overlap, packing, quota, truncation
+from flowloom.llm import hnsw, mixing, overlap, packing, quota, truncation
 from flowloom.llm.tokens import TOKENIZER, token_counter
 from flowloom.session import checkpointed, table
 
@@ -24,6 +24,16 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_sampled(spark, d), "node_id", "features", "split", "source")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    p = hnsw.similar_pairs(_sampled(spark, d), "node_id", "features", k=5, min_cosine=0.97)
+    return p.select(F.least("node_id", "neighbour").alias("node_a"), F.greatest("node_id", "neighbour").alias("node_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar of every record, whatever their cosine."""
+    return hnsw.similar_pairs(_sampled(spark, d), "node_id", "features", k=5)
+
+
 def _quota(spark: SparkSession, d: str):
     """class_targets and label_vocab are fixed tables of at most 16 rows."""
     vocab = table(spark, d, "label_vocab").select(F.col("label_multiclass").alias("__id"), F.col("attack_type").alias("__name"))
@@ -92,6 +102,8 @@ def p10_report(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_report": p1_report,
+    "p2_found": p2_found,
+    "p2_neighbours": p2_neighbours,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p5_sample": p5_sample,

@@ -34,11 +34,20 @@ def fold(c: Column) -> Column:
 
 def canonical_label(c: Column) -> Column:
     """The class a label text names; unknown if null or none of the marks occurs."""
-    f = fold(c)
-    out = F.when(c.isNull(), F.lit("unknown"))
-    for mark, name in MARKS:
-        out = out.when(f.contains(mark), F.lit(name))
-    return out.otherwise(F.lit("unknown"))
+
+    def first_mark(f: Column) -> Column:
+        out = F.when(f.isNull(), F.lit("unknown"))
+        for mark, name in MARKS:
+            out = out.when(f.contains(mark), F.lit(name))
+        return out.otherwise(F.lit("unknown"))
+
+    # the array of one makes the folded text a variable that is computed once
+    return F.transform(F.array(fold(c)), first_mark)[0]
+
+
+def names_class(c: Column) -> Column:
+    """canonical_label(c) != 'unknown', by one pattern."""
+    return fold(c).rlike("|".join(mark for mark, _ in MARKS))
 
 
 def label_id(c: Column) -> Column:

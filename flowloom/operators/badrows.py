@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import CLASSES, LABEL_NAMES, canonical_label, fold
+from flowloom.functions.labels import CLASSES, LABEL_NAMES, fold, names_class
 from flowloom.operators.drift import field_table
 from flowloom.sources.delimited import cells_of, headers, is_decimal, is_int, quoting_broken, unquoted, with_header
 
@@ -34,7 +34,7 @@ def rule_table(fields: DataFrame) -> DataFrame:
 
 def label_unknown(v: Column) -> Column:
     """A non-blank label that names no class and is no id of the vocabulary."""
-    known = (canonical_label(v) != "unknown") | (fold(v) == "unknown") | F.regexp_replace(v, "^[+]?0*(?=[0-9])", "").isin(*[str(i) for i in range(len(CLASSES))])
+    known = names_class(v) | (fold(v) == "unknown") | F.regexp_replace(v, "^[+]?0*(?=[0-9])", "").isin(*[str(i) for i in range(len(CLASSES))])
     return ~known
 
 

@@ -19,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import LABEL_NAMES, canonical_label
+from flowloom.functions.labels import LABEL_NAMES, names_class
 from flowloom.operators.balanced import balanced_lag
+from flowloom.session import checkpointed
 from flowloom.sources.delimited import cells_of, headers, is_decimal, is_int, quoting_broken, unquoted, with_header
 
 SKETCH = "name string, kind string, n long, n_num long, mean double, sd double, zero double, n_time long, n_class long, n_id long"
@@ -40,7 +41,7 @@ def profile_fields(lines: DataFrame, head: DataFrame) -> DataFrame:
     cells = undamaged_cells(lines, head).where(v != "")
     cells = cells.withColumn("k", F.when(is_int(v), 1).when(is_decimal(v), 2).otherwise(3))
     k = F.col("k")
-    number = F.when(k < 3, v).otherwise(F.regexp_extract(v, r"^[a-z ]*([0-9]+\.?[0-9]*)[ a-z]*$", 1)).try_cast("double")
+    number = F.when(k < 3, v).otherwise(F.regexp_substr(v, F.lit(r"[0-9]+\.?[0-9]*"))).try_cast("double")
     cells = cells.withColumn("u", F.log1p(F.abs(number)))
     finite = F.col("u").isNotNull() & ~F.isnan("u") & (F.col("u") < F.lit(float("inf")))
     cells = cells.withColumn("u", F.when(finite, F.col("u")))
@@ -53,7 +54,7 @@ def profile_fields(lines: DataFrame, head: DataFrame) -> DataFrame:
         F.sum(F.col("u") * F.col("u")).alias("s2"),
         F.count_if(F.col("u") == 0).alias("n_zero"),
         F.count_if(F.when(k == 3, v.rlike(r"[0-9]:[0-9][0-9]|[0-9]T[0-9]{6}")).otherwise((k == 1) & F.length(v).isin(10, 13, 16))).alias("n_time"),
-        F.count_if(F.when(k == 3, canonical_label(v) != "unknown")).alias("n_class"),
+        F.count_if(F.when(k == 3, names_class(v))).alias("n_class"),
         F.count_if((k == 1) & (F.length(v) <= 2)).alias("n_id"),
     )
 
@@ -139,15 +140,18 @@ def best_matching(weight: list[list[float]]) -> list[tuple[int, int]]:
     return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] - 1 < n and weight[match[j] - 1][j - 1] > 0]
 
 
-def _match_batches(batches):
+def _change_batches(batches):
     for pdf in batches:
         rows = []
-        for fid, gone, come in zip(pdf["file_id"], pdf["gone"], pdf["come"], strict=True):
-            gone, come = list(gone), list(come)
-            w = [[similarity(a, b) for b in come] for a in gone]
-            for i, j in best_matching(w):
-                rows.append((fid, gone[i]["name"], come[j]["name"]))
-        yield pd.DataFrame(rows, columns=["file_id", "field_before", "field_after"])
+        for fid, gone, come, retyped in zip(pdf["file_id"], pdf["gone"], pdf["come"], pdf["retyped"], strict=True):
+            gone = list({f["name"]: f for f in reversed(list(gone))}.values())
+            come = list({f["name"]: f for f in reversed(list(come))}.values())
+            pairs = best_matching([[similarity(a, b) for b in come] for a in gone])
+            rows += [(fid, "renamed", gone[i]["name"], come[j]["name"]) for i, j in pairs]
+            rows += [(fid, "removed", f["name"], "") for i, f in enumerate(gone) if i not in {p[0] for p in pairs}]
+            rows += [(fid, "added", "", f["name"]) for j, f in enumerate(come) if j not in {p[1] for p in pairs}]
+            rows += [(fid, "retyped", n, n) for n in retyped]
+        yield pd.DataFrame(rows, columns=["file_id", "change_kind", "field_before", "field_after"])
 
 
 def schema_changes(lines: DataFrame, files: DataFrame, fields: DataFrame | None = None) -> DataFrame:
@@ -155,7 +159,8 @@ def schema_changes(lines: DataFrame, files: DataFrame, fields: DataFrame | None
 
     files: file_id, feed_id, file_seq. Rows of files that are not in it, or with a null feed, give nothing.
     """
-    fields = fields if fields is not None else field_table(lines)
+    # read twice, as the file and as its predecessor: one narrow row a file, written once
+    fields = checkpointed(fields if fields is not None else field_table(lines))
     order = files.where("feed_id is not null").select("file_id", "feed_id", "file_seq")
     prev = balanced_lag(order, ["feed_id"], ["file_seq", "file_id"], "file_id", "prev_id").where("prev_id is not null").select("file_id", "prev_id")
     strip = "transform(fields, f -> named_struct('name', f.name, 'kind', f.kind, 'n', f.n, 'n_num', f.n_num, 'mean', f.mean, 'sd', f.sd, 'zero', f.zero, 'n_time', f.n_time, 'n_class', f.n_class, 'n_id', f.n_id))"
@@ -172,20 +177,9 @@ def schema_changes(lines: DataFrame, files: DataFrame, fields: DataFrame | None
         .withColumn("typed_now", F.expr("transform(filter(now, f -> f.kind is not null), f -> f.name)"))
         .withColumn("retyped", F.array_distinct(F.expr("filter(retyped, n -> array_contains(typed_now, n))")))
         .select("file_id", "come", "gone", "retyped")
+        .where("size(come) + size(gone) + size(retyped) > 0")
     )
-    both = j.where("size(come) > 0 and size(gone) > 0")
-    renamed = both.select("file_id", "gone", "come").mapInPandas(_match_batches, "file_id long, field_before string, field_after string")
-    pairs = renamed.groupBy("file_id").agg(F.collect_list(F.struct("field_before", "field_after")).alias("pairs"))
-    all_ = j.join(pairs, "file_id", "left").withColumn("pairs", F.coalesce("pairs", F.expr("array()").cast("array<struct<field_before:string,field_after:string>>")))
-    change = "named_struct('change_kind', '{k}', 'field_before', {b}, 'field_after', {a})"
-    events = F.expr(
-        "array_distinct(concat("
-        + "transform(filter(come, f -> not exists(pairs, p -> p.field_after = f.name)), f -> " + change.format(k="added", b="''", a="f.name") + "),"
-        + "transform(filter(gone, f -> not exists(pairs, p -> p.field_before = f.name)), f -> " + change.format(k="removed", b="f.name", a="''") + "),"
-        + "transform(pairs, p -> " + change.format(k="renamed", b="p.field_before", a="p.field_after") + "),"
-        + "transform(retyped, n -> " + change.format(k="retyped", b="n", a="n") + ")))"
-    )
-    return all_.select("file_id", F.explode(events).alias("e")).select("file_id", "e.change_kind", "e.field_before", "e.field_after")
+    return j.mapInPandas(_change_batches, "file_id long, change_kind string, field_before string, field_after string")
 
 
 def _canonical_batches(batches):

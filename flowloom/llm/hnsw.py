@@ -145,14 +145,15 @@ def build(x: np.ndarray, m: int = 12, ef: int = 40, seed: int = 3, batch: int =
     for level in range(len(sizes) - 1, -1, -1):
         size, degree = sizes[level], m if level else 2 * m
         graph = np.full((size, degree), -1, dtype=np.int32)
-        first = min(size, 1024)
-        s = x[:first] @ x[:first].T
-        np.fill_diagonal(s, -np.inf)
+        # the vertices of the layer above must all be linked here before searches start from them
+        first = min(size, max(1024, len(layers[0]) if layers else 0))
         k = min(ef, max(1, first - 1))
         if first > 1:
             for lo in range(0, first, 512):
-                ids, sims = _top(np.broadcast_to(np.arange(first, dtype=np.int32), s[lo : lo + 512].shape), s[lo : lo + 512], k)
-                graph[lo : lo + 512][: len(ids)] = _diverse(x, ids, sims, degree)
+                s = x[lo : min(lo + 512, first)] @ x[:first].T
+                s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
+                ids, sims = _top(np.broadcast_to(np.arange(first, dtype=np.int32), s.shape), s, k)
+                graph[lo : lo + len(s)] = _diverse(x, ids, sims, degree)
             _link_back(x, graph, np.arange(first), degree)
         done = first
         while done < size:

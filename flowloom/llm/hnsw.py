@@ -132,7 +132,7 @@ def _link_back(x: np.ndarray, graph: np.ndarray, sources: np.ndarray, m: int) ->
         graph[u] = _diverse(x, ids, sims, m)
 
 
-def build(x: np.ndarray, m: int = 12, ef: int = 40, seed: int = 3, batch: int = 2048) -> list[np.ndarray]:
+def build(x: np.ndarray, m: int = 16, ef: int = 56, seed: int = 3, batch: int = 2048) -> list[np.ndarray]:
     """The layers' flat neighbour arrays, bottom first: layer l covers the first len(layer) vertices.
 
     Vertices are expected in random order, so a prefix is a random sample: layer l holds n / m^l of them.
@@ -213,7 +213,7 @@ def graphs(reps: DataFrame, shards: int, m: int, ef: int) -> DataFrame:
     return reps.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(make, GRAPH)
 
 
-def nearest_classes(reps: DataFrame, k: int, shards: int, query_blocks: int, m: int = 12, ef_build: int = 40, ef: int = 32) -> DataFrame:
+def nearest_classes(reps: DataFrame, k: int, shards: int, query_blocks: int, m: int = 16, ef_build: int = 56, ef: int = 72) -> DataFrame:
     """(h1, h2, g1, g2, sim): for each distinct vector its k best others; sim is the float32 estimate.
 
     reps: h1, h2, x, without zero vectors.

@@ -98,14 +98,14 @@ def parsed(df: DataFrame, text: str, zones: set[str]) -> DataFrame:
 
 
 def em_mixture(patterns: DataFrame, iterations: int = 30, smoothing: float = 1.0) -> DataFrame:
-    """EM over (source, both, mdy_only, dmy_only counts, prior): adds p_mdy, the source's share of month-first texts.
+    """EM over (source, both, mdy_only, dmy_only counts, __known): adds __theta, the source's share of month-first texts.
 
-    both counts texts valid under either reading; a prior of 1 or 0 fixes the mixture. Pure column arithmetic on
+    both counts texts valid under either reading; a known share fixes the mixture. Pure column arithmetic on
     one row a source, so it stays lazy: theta' = (mdy_only + both * theta + a) / (n + 2 a).
     """
     n = F.col("both") + F.col("mdy_only") + F.col("dmy_only")
     free = f"aggregate(sequence(1, {iterations}), double(0.5), (t, i) -> (mdy_only + both * t + {smoothing}) / (both + mdy_only + dmy_only + 2 * {smoothing}))"
-    return patterns.withColumn("p_mdy", F.coalesce(F.col("prior"), F.expr(free))).withColumn("n", n)
+    return patterns.withColumn("__theta", F.coalesce(F.col("__known"), F.expr(free))).withColumn("n", n)
 
 
 def normalise_timestamps(
@@ -141,14 +141,14 @@ def normalise_timestamps(
     )
     zero = F.lit(0).cast("long")
     joined = evidence.join(cat, F.col("__e").eqNullSafe(F.col("__s")), "full").select(
-        F.coalesce("__s", "__e").alias("__s2"), "__tz", F.col("__prior").alias("prior"),
+        F.coalesce("__s", "__e").alias("__s2"), "__tz", F.col("__prior").alias("__known"),
         *[F.coalesce(c, zero).alias(c) for c in ("both", "mdy_only", "dmy_only")],
     )
-    mix = checkpointed(em_mixture(joined).select("__s2", "p_mdy", "prior", "__tz"))
+    mix = checkpointed(em_mixture(joined).select("__s2", "__theta", "__known", "__tz"))
     if mix.count() <= max_broadcast_sources:
         mix = F.broadcast(mix)
     j = p.join(mix, F.col(f"`{source}`").eqNullSafe(F.col("__s2")), "left")
-    mdy, dmy, theta, prior = F.col("__p.mdy"), F.col("__p.dmy"), F.col("p_mdy"), F.col("prior")
+    mdy, dmy, theta, prior = F.col("__p.mdy"), F.col("__p.dmy"), F.col("__theta"), F.col("__known")
     reading = (
         F.when(F.col("__p.shape").isNull(), F.lit(None))
         .when(~slash, F.col("__p.shape"))
@@ -175,5 +175,5 @@ def normalise_timestamps(
         .withColumn(f"{out}_us", F.unix_micros(out))
         .withColumn(f"{out}_status", status)
         .withColumn(f"{out}_reading", F.col("__r"))
-        .drop("__p", "__r", "__local", "__zone", "__s2", "p_mdy", "prior", "__tz")
+        .drop("__p", "__r", "__local", "__zone", "__s2", "__theta", "__known", "__tz")
     )

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import CLASSES, MARKS, canonical_label, class_key, label_id
+from flowloom.functions.labels import CLASSES, MARKS, canonical_label, label_id
 from flowloom.operators import features as ft
-from flowloom.operators import graph, metrics, sampling, vector
+from flowloom.operators import graph, learning, metrics, sampling, vector
 from flowloom.operators.balanced import balanced_agg, balanced_running
 from flowloom.session import table
 from flowloom.streaming import windows
@@ -636,7 +636,43 @@ def q_stream_class_counts(s, d):
     return ev(s, d).groupBy(F.floor(F.col("event_id") / 2000).cast("long").alias("batch"), "event_type").agg(F.count("*").alias("n"))
 
 
+# --- learning (rows only: fitted models are not SQL) ----------------------------------------------------------------
+
+
+@query()
+def q_ml_baseline(s, d):
+    """A forest on the flow vectors, fitted on the train split and scored on the test split."""
+    n = table(s, d, "phase2_sampled_500k").select("node_id", "split", F.coalesce(F.col("label_multiclass"), F.lit(15)).cast("double").alias("label"), vector.clean_vector(F.col("features")).alias("v"))
+    x = learning.with_vector(n, "v")
+    train, test = x.where("split = 'train'"), x.where("split = 'test'")
+    return learning.fit_and_score(train, test, learning.baseline("forest", 78, 16))[1]
+
+
+@query()
+def q_ml_pipeline(s, d):
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    m = learning.feature_pipeline(["l_quantity", "l_discount", "l_tax"], scale=True).fit(li)
+    return m.transform(li).select("l_orderkey", "l_linenumber", learning.vector_to_array("features").alias("features"))
+
+
+@query()
+def q_pca_2d(s, d):
+    return learning.projected_2d(table(s, d, "embeddings"), "embedding", "vec_id")
+
+
+@query()
+def q_noise_sweep(s, d):
+    e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return learning.noise_sweep(e, "embedding", [0.0, 0.5, 1.0, 2.0, 5.0])
+
+
+CLASS = "SELECT n.node_id, n.split, coalesce(regexp_replace(lower(trim(n.attack_type)), '[ /\\-]+', '_', 'g'), v.attack_type) AS class FROM phase2_sampled_500k n LEFT JOIN label_vocab v USING (label_multiclass)"
+
 SQL |= {
+    "p3_found": f"""WITH e AS (SELECT time_bucket, count(*) AS n FROM (SELECT DISTINCT src, dst, weight, edge_type, time_bucket FROM phase3a_temporal) GROUP BY 1), c AS (SELECT class, count(*) AS n FROM ({CLASS}) GROUP BY 1)
+SELECT 'phase3a_temporal' AS table_name, CAST(time_bucket AS VARCHAR) AS key_value FROM e WHERE time_bucket IS NOT NULL AND n * 20 >= (SELECT sum(n) FROM e)
+UNION ALL SELECT 'phase2_sampled_500k', class FROM c WHERE class IS NOT NULL AND n * 20 >= (SELECT sum(n) FROM c)""",
+    "p3_class_counts": f"SELECT class, count(*) AS n FROM ({CLASS}) GROUP BY 1",
+    "p3_edge_rank": "SELECT *, row_number() OVER (PARTITION BY time_bucket ORDER BY src NULLS FIRST, dst NULLS FIRST, weight NULLS FIRST, edge_type NULLS FIRST) AS rank_in_bucket FROM (SELECT DISTINCT src, dst, weight, edge_type, time_bucket FROM phase3a_temporal)",
     "p3_bucket_counts": "SELECT time_bucket, count(*) AS n, round(sum(weight), 6) AS weight_sum FROM (SELECT DISTINCT src, dst, weight, edge_type, time_bucket FROM phase3a_temporal) GROUP BY 1",
 }
-del class_key

@@ -116,3 +116,16 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_report": p10_report,
 }
+
+CLASS = "SELECT coalesce(regexp_replace(lower(trim(n.attack_type)), '[ /\\-]+', '_', 'g'), v.attack_type) AS class FROM phase2_sampled_500k n LEFT JOIN label_vocab v USING (label_multiclass)"
+VEC = "SELECT node_id, split, list_transform(features, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN NULL ELSE CAST(x AS DOUBLE) END) AS v FROM phase2_sampled_500k"
+UNIT = "SELECT node_id, list_transform(v, lambda x: coalesce(x, 0.0)) AS v FROM (" + VEC + ")"
+
+SQL = {
+    "p1_found": f"""WITH r AS ({VEC}) SELECT least(a.node_id, b.node_id) AS node_a, greatest(a.node_id, b.node_id) AS node_b FROM r a JOIN r b ON a.split = 'train' AND b.split IN ('val', 'test')
+WHERE len(list_filter(list_zip(a.v, b.v), lambda p: coalesce(abs(p[1] - p[2]) <= 0.075001, false))) >= 74""",
+    "p2_found": f"""WITH r AS ({UNIT}), p AS (SELECT a.node_id AS q, b.node_id AS n, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM r a JOIN r b ON a.node_id <> b.node_id),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS k FROM p WHERE c >= 0.97) WHERE k <= 5) SELECT DISTINCT least(q, n) AS node_a, greatest(q, n) AS node_b FROM t""",
+    "p5_found": f"""WITH c AS (SELECT class, count(*) AS n FROM ({CLASS}) GROUP BY 1), s AS (SELECT count(*) // 4 AS s FROM phase2_sampled_500k)
+SELECT t.attack_type FROM class_targets t LEFT JOIN c ON t.attack_type = c.class, s WHERE coalesce(c.n, 0) < greatest(t.min_rows, CAST(floor(CAST(t.target_share AS DECIMAL(12, 6)) * s.s + 0.5) AS BIGINT))""",
+}

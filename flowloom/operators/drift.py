@@ -21,12 +21,8 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import LABEL_NAMES, names_class
 from flowloom.operators.balanced import balanced_lag
-from flowloom.session import checkpointed
 from flowloom.sources.delimited import cells_of, headers, is_decimal, is_int, quoting_broken, unquoted, with_header
 
-SKETCH = "name string, kind string, n long, n_num long, mean double, sd double, zero double, n_time long, n_class long, n_id long"
-
-
 def undamaged_cells(lines: DataFrame, head: DataFrame) -> DataFrame:
     """(file_id, pos, v): trimmed cells of all lines that parse and have the header's width."""
     j = with_header(lines.select("file_id", "line_no", "line_text"), head.select("file_id", "delim", "width"))
@@ -70,7 +66,8 @@ def field_table(lines: DataFrame) -> DataFrame:
     mean = F.try_divide("s1", "n_num")
     field = F.struct(
         "pos", "name", kind.alias("kind"), F.coalesce(n, F.lit(0)).cast("long").alias("n"), F.coalesce("n_num", F.lit(0)).cast("long").alias("n_num"),
-        mean.alias("mean"), F.sqrt(F.greatest(F.try_divide("s2", "n_num") - mean * mean, F.lit(0.0))).alias("sd"), F.try_divide(F.col("n_zero"), F.col("n_num")).alias("zero"),
+        mean.cast("float").alias("mean"), F.sqrt(F.greatest(F.try_divide("s2", "n_num") - mean * mean, F.lit(0.0))).cast("float").alias("sd"),
+        F.try_divide(F.col("n_zero"), F.col("n_num")).cast("float").alias("zero"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_time", "n_class", "n_id")],
     )
     return j.groupBy("file_id").agg(F.array_sort(F.collect_list(field)).alias("fields"))
@@ -159,25 +156,24 @@ def schema_changes(lines: DataFrame, files: DataFrame, fields: DataFrame | None
 
     files: file_id, feed_id, file_seq. Rows of files that are not in it, or with a null feed, give nothing.
     """
-    # read twice, as the file and as its predecessor: one narrow row a file, written once
-    fields = checkpointed(fields if fields is not None else field_table(lines))
+    fields = fields if fields is not None else field_table(lines)
     order = files.where("feed_id is not null").select("file_id", "feed_id", "file_seq")
     prev = balanced_lag(order, ["feed_id"], ["file_seq", "file_id"], "file_id", "prev_id").where("prev_id is not null").select("file_id", "prev_id")
-    strip = "transform(fields, f -> named_struct('name', f.name, 'kind', f.kind, 'n', f.n, 'n_num', f.n_num, 'mean', f.mean, 'sd', f.sd, 'zero', f.zero, 'n_time', f.n_time, 'n_class', f.n_class, 'n_id', f.n_id))"
-    now = fields.select("file_id", F.expr(strip).alias("now"))
-    was = fields.select(F.col("file_id").alias("prev_id"), F.expr(strip).alias("was"))
+    now = fields.select("file_id", F.col("fields").alias("now"))
+    was = fields.select(F.col("file_id").alias("prev_id"), F.col("fields").alias("was"))
     j = now.join(prev, "file_id").join(was, "prev_id")
+    # hashed set operations on names; the field lists are searched only for the few names that come out of them.
+    # Binding those as the variable of a lambda keeps them from being evaluated anew for every field.
+    names, typed_names = "transform({}, f -> f.name)", "transform(filter({}, f -> f.kind is not null), f -> f.name)"
+    typed = "transform(filter({}, f -> f.kind is not null), f -> concat(f.kind, ' ', f.name))"
+    new_kinds = f"transform(array_except({typed.format('now')}, {typed.format('was')}), t -> substring_index(t, ' ', -1))"
+    pick = "transform(array({n}), n -> filter({f}, f -> array_contains(n, f.name)))[0]"
     j = (
-        j.withColumn("names_now", F.expr("transform(now, f -> f.name)"))
-        .withColumn("names_was", F.expr("transform(was, f -> f.name)"))
-        .withColumn("come", F.expr("filter(now, f -> not array_contains(names_was, f.name))"))
-        .withColumn("gone", F.expr("filter(was, f -> not array_contains(names_now, f.name))"))
-        .withColumn("kinds_now", F.expr("transform(now, f -> concat(f.name, ' ', f.kind))"))
-        .withColumn("retyped", F.expr("transform(filter(was, f -> f.kind is not null and array_contains(names_now, f.name) and not array_contains(kinds_now, concat(f.name, ' ', f.kind))), f -> f.name)"))
-        .withColumn("typed_now", F.expr("transform(filter(now, f -> f.kind is not null), f -> f.name)"))
-        .withColumn("retyped", F.array_distinct(F.expr("filter(retyped, n -> array_contains(typed_now, n))")))
-        .select("file_id", "come", "gone", "retyped")
+        j.withColumn("come", F.expr(f"array_except({names.format('now')}, {names.format('was')})"))
+        .withColumn("gone", F.expr(f"array_except({names.format('was')}, {names.format('now')})"))
+        .withColumn("retyped", F.expr(f"array_intersect({new_kinds}, {typed_names.format('was')})"))
         .where("size(come) + size(gone) + size(retyped) > 0")
+        .select("file_id", F.expr(pick.format(n="come", f="now")).alias("come"), F.expr(pick.format(n="gone", f="was")).alias("gone"), "retyped")
     )
     return j.mapInPandas(_change_batches, "file_id long, change_kind string, field_before string, field_after string")
 

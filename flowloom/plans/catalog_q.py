@@ -676,3 +676,22 @@ UNION ALL SELECT 'phase2_sampled_500k', class FROM c WHERE class IS NOT NULL AND
     "p3_edge_rank": "SELECT *, row_number() OVER (PARTITION BY time_bucket ORDER BY src NULLS FIRST, dst NULLS FIRST, weight NULLS FIRST, edge_type NULLS FIRST) AS rank_in_bucket FROM (SELECT DISTINCT src, dst, weight, edge_type, time_bucket FROM phase3a_temporal)",
     "p3_bucket_counts": "SELECT time_bucket, count(*) AS n, round(sum(weight), 6) AS weight_sum FROM (SELECT DISTINCT src, dst, weight, edge_type, time_bucket FROM phase3a_temporal) GROUP BY 1",
 }
+
+MON = r"list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], lower(regexp_extract(s, '^(?:[A-Za-z]{3}, )?\d{1,2}[ -]([A-Za-z]{3})', 1)))"
+OFFSETS = "CASE z " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in [("Z", "+00:00"), ("UTC", "+00:00"), ("EST", "-05:00"), ("EDT", "-04:00"), ("CET", "+01:00"), ("CEST", "+02:00")]) + " ELSE z END"
+
+SQL["p6_found"] = f"""WITH t AS (SELECT 'phase2_features' AS table_name, node_id, trim(event_time) AS s, source FROM phase2_features UNION ALL SELECT 'phase2_sampled_500k', node_id, trim(event_time), source FROM phase2_sampled_500k),
+a AS (SELECT t.*, tz_name, CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d\\d-\\d\\d[T ]') THEN substr(s, 1, 10) WHEN regexp_matches(s, '^\\d{{8}}T\\d{{6}}Z$') THEN substr(s, 1, 4) || '-' || substr(s, 5, 2) || '-' || substr(s, 7, 2)
+  WHEN regexp_matches(s, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}} ') THEN regexp_extract(s, '/(\\d{{4}}) ', 1) || '-' || CASE date_order WHEN 'mdy' THEN regexp_extract(s, '^(\\d+)/(\\d+)', 1) || '-' || regexp_extract(s, '^(\\d+)/(\\d+)', 2) WHEN 'dmy' THEN regexp_extract(s, '^(\\d+)/(\\d+)', 2) || '-' || regexp_extract(s, '^(\\d+)/(\\d+)', 1) END
+  WHEN {MON} IS NOT NULL THEN regexp_extract(s, '(\\d{{4}}),? ', 1) || '-' || {MON} || '-' || regexp_extract(s, '^(?:[A-Za-z]{{3}}, )?(\\d{{1,2}})', 1) END AS day,
+  CASE WHEN regexp_matches(s, '^\\d{{4}}-\\d\\d-\\d\\d[T ]') THEN substr(s, 12) WHEN regexp_matches(s, '^\\d{{8}}T\\d{{6}}Z$') THEN substr(s, 10, 2) || ':' || substr(s, 12, 2) || ':' || substr(s, 14) ELSE regexp_extract(s, '\\d{{4}},? (.*)$', 1) END AS rest FROM t LEFT JOIN sensors ON t.source = sensors.sensor),
+b AS (SELECT *, regexp_extract(rest, '^(\\d{{1,2}}):\\d\\d', 1) AS h, regexp_extract(rest, '^\\d{{1,2}}:(\\d\\d)', 1) AS m, coalesce(nullif(regexp_extract(rest, '^\\d{{1,2}}:\\d\\d:(\\d\\d)', 1), ''), '00') AS sec,
+  rpad(substr(regexp_extract(rest, '^\\d{{1,2}}:\\d\\d:\\d\\d\\.(\\d+)', 1), 1, 6), 6, '0') AS frac, regexp_extract(rest, ' (AM|PM)$', 1) AS half,
+  regexp_replace(regexp_extract(rest, '^\\d{{1,2}}:\\d\\d(?::\\d\\d(?:\\.\\d+)?)? ?((?:[+-]|Z|[A-Za-z]{{3}})[^\\[]*)', 1), '^(AM|PM)$', '') AS z FROM a),
+c AS (SELECT *, try_cast(day || ' ' || CASE half WHEN 'AM' THEN CAST(try_cast(h AS INT) % 12 AS VARCHAR) WHEN 'PM' THEN CAST(try_cast(h AS INT) % 12 + 12 AS VARCHAR) ELSE h END || ':' || m || ':' || sec AS TIMESTAMP) AS local, {OFFSETS} AS o FROM b WHERE h <> '' AND m <> ''),
+e AS (SELECT table_name, node_id, frac, local, CASE WHEN regexp_matches(o, '^[+-]') THEN epoch_us(local) - (CASE WHEN o[1] = '-' THEN -1 ELSE 1 END) * (try_cast(substr(o, 2, 2) AS BIGINT) * 60 + coalesce(try_cast(right(o, 2) AS BIGINT) * CAST(length(o) > 3 AS BIGINT), 0)) * 60000000 END AS fixed,
+  CASE WHEN o = '' THEN tz_name WHEN contains(o, '/') THEN o END AS zone FROM c WHERE local IS NOT NULL),
+f AS (SELECT *, timezone(zone, local) AS x FROM e),
+g AS (SELECT table_name, node_id, coalesce(fixed, epoch_us(CASE WHEN timezone(zone, x - INTERVAL 1 HOUR) = local THEN x - INTERVAL 1 HOUR ELSE x END)) + try_cast(frac AS BIGINT) AS us FROM f
+  UNION ALL SELECT table_name, node_id, try_cast(s AS BIGINT) * CASE length(s) WHEN 10 THEN 1000000 WHEN 13 THEN 1000 ELSE 1 END FROM t WHERE regexp_matches(s, '^(\\d{{10}}|\\d{{13}}|\\d{{16}})$'))
+SELECT table_name, node_id, CAST(min(us) AS BIGINT) AS epoch_us FROM g WHERE us IS NOT NULL GROUP BY ALL"""

@@ -29,7 +29,7 @@ def test_sliding_window_stream_equals_batch(spark, tmp_path):
     got = collect(spark, windows.windowed_counts(stream, "ts", "6 hours", "2 hours", ("kind",), "1 hour", "value"), tmp_path)
     want = {tuple(r) for r in windows.windowed_counts(batch, "ts", "6 hours", "2 hours", ("kind",), value="value").collect()}
     # append mode keeps back the windows that the watermark has not passed
-    assert len(got) == len(set(got)) and set(got) <= want and len(got) > 0.8 * len(want)
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) > 0.7 * len(want)
 
 
 def test_sessions(spark, tmp_path):

@@ -51,3 +51,15 @@ def write_metrics(path: str, payload: dict) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         json.dump(payload | {"ts_utc": datetime.now(UTC).isoformat()}, f, indent=2, sort_keys=True, default=str)
+
+
+class RunLog:
+    """Parameters once and metrics line by line in a folder."""
+
+    def __init__(self, folder: str, params: dict):
+        self.folder = folder
+        write_metrics(os.path.join(folder, "params.json"), params)
+
+    def log(self, step: int, metrics: dict) -> None:
+        with open(os.path.join(self.folder, "metrics.jsonl"), "a", encoding="utf-8") as f:
+            f.write(json.dumps({"step": step, "ts_utc": datetime.now(UTC).isoformat()} | metrics, sort_keys=True, default=str) + "\n")

@@ -165,3 +165,23 @@ def count_window(edges: DataFrame, nodes: DataFrame, step: int, cap: int) -> Dat
     steps = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("s"))
     j = steps.join(per, "s", "left")
     return j.select("s", ((F.col("s") + 1) * step).alias("processed"), F.least((F.col("s") + 1) * step, F.lit(cap)).alias("active_nodes"), F.coalesce("active_edges", F.lit(0)).alias("active_edges"))
+
+
+def gated_messages(messages: DataFrame, gates: dict[int, float]) -> DataFrame:
+    """Per node the softmax-weighted sum of its relations' messages; relations without a gate count as gate 0.
+
+    messages: edge_type_id, node_id, message. The softmax runs over all given gates.
+    """
+    import math
+
+    top = max(gates.values())
+    total = sum(math.exp(g - top) for g in gates.values())
+    share = F.create_map(*[x for r, g in gates.items() for x in (F.lit(r), F.lit(math.exp(g - top) / total))])
+    return messages.groupBy("node_id").agg(F.sum(F.coalesce(share[F.col("edge_type_id")], F.lit(0.0)) * F.col("message")).alias("message"))
+
+
+def sum_with_self(edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Each node's own value plus the sum over its incoming neighbours (repeated edges add up)."""
+    x = nodes.select("node_id", F.col(column).alias("x"))
+    moved = edges.select("src", F.col("dst").alias("node_id")).join(x.withColumnRenamed("node_id", "src"), "src").groupBy("node_id").agg(F.sum("x").alias("s"))
+    return x.join(moved, "node_id", "left").select("node_id", (F.col("x") + F.coalesce("s", F.lit(0.0))).alias("total"))

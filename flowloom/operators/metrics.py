@@ -64,3 +64,26 @@ def auc(df: DataFrame, positive: Column, score: str) -> DataFrame:
 
 def focal_loss(p_true: Column, gamma: float = 2.0) -> Column:
     return -F.pow(1.0 - p_true, F.lit(gamma)) * F.log(p_true)
+
+
+def log_softmax_at(logits: Column, i: Column) -> Column:
+    """log softmax(logits)[i], zero-based."""
+    top = F.array_max(logits)
+    total = F.aggregate(logits, F.lit(0.0), lambda s, v: s + F.exp(v - top))
+    return F.get(logits, i) - top - F.log(total)
+
+
+def cross_entropy(logits: Column, label: Column) -> Column:
+    return -log_softmax_at(logits, label)
+
+
+def distillation_loss(student: Column, teacher: Column, temperature: float = 2.0) -> Column:
+    """T^2 KL(softmax(teacher / T) || softmax(student / T))."""
+    t = temperature
+
+    def log_p(c: Column) -> Column:
+        scaled = F.transform(c, lambda v: v / t)
+        norm = F.transform(F.array(scaled), lambda s: F.array_max(s) + F.log(F.aggregate(s, F.lit(0.0), lambda a, v: a + F.exp(v - F.array_max(s)))))[0]
+        return F.transform(F.array(norm), lambda n: F.transform(scaled, lambda v: v - n))[0]
+
+    return t * t * F.aggregate(F.zip_with(log_p(teacher), log_p(student), lambda a, b: F.exp(a) * (a - b)), F.lit(0.0), lambda s, v: s + v)

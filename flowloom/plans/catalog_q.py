@@ -636,6 +636,43 @@ def q_stream_class_counts(s, d):
     return ev(s, d).groupBy(F.floor(F.col("event_id") / 2000).cast("long").alias("batch"), "event_type").agg(F.count("*").alias("n"))
 
 
+# --- model arithmetic ----------------------------------------------------------------------------------------------
+
+GATES = {0: 0.3, 1: 1.1}
+
+
+@query(f"""WITH m AS (SELECT edge_type_id, dst AS node_id, sum(weight * x) / greatest(sum(weight), 1.0) AS message FROM ({FUSED}) e JOIN ({NODES}) n ON e.src = n.node_id GROUP BY ALL)
+SELECT node_id, round(sum(message * exp(CASE edge_type_id WHEN 0 THEN 0.3 ELSE 1.1 END)) / (exp(0.3) + exp(1.1)) + 0.0000001, 5) AS message FROM m GROUP BY node_id""")
+def q_relation_gate(s, d):
+    m = graph.gated_messages(graph.message_pass(fused(s, d), nodes(s, d), "x"), GATES)
+    return m.withColumn("message", F.round(F.col("message") + 0.0000001, 5))
+
+
+@query(f"SELECT n.node_id, n.x + coalesce(s, 0) AS total FROM ({NODES}) n LEFT JOIN (SELECT dst, sum(m.x) AS s FROM ({EDGES}) e JOIN ({NODES}) m ON e.src = m.node_id GROUP BY dst) ON n.node_id = dst")
+def q_sum_aggregate(s, d):
+    return graph.sum_with_self(edges(s, d), nodes(s, d), "x")
+
+
+@query(f"SELECT vec_id, round(list_max(v) + ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) - v[label + 1], 6) AS loss FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)")
+def q_cross_entropy(s, d):
+    v = vector.clean_vector(F.col("embedding"))
+    return table(s, d, "embeddings").select("vec_id", F.round(metrics.cross_entropy(v, F.col("label")), 6).alias("loss"))
+
+
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, list_transform(v, lambda x: x / 2) AS t, list_transform(list_reverse(v), lambda x: x / 2) AS s FROM e),
+n AS (SELECT *, ln(list_sum(list_transform(t, lambda x: exp(x)))) AS lt, ln(list_sum(list_transform(s, lambda x: exp(x)))) AS ls FROM p)
+SELECT vec_id, round(4 * list_sum(list_transform(list_zip(t, s), lambda q: exp(q[1] - lt) * ((q[1] - lt) - (q[2] - ls)))), 6) AS loss FROM n""")
+def q_distillation_loss(s, d):
+    v = vector.clean_vector(F.col("embedding"))
+    return table(s, d, "embeddings").select("vec_id", F.round(metrics.distillation_loss(F.reverse(v), v), 6).alias("loss"))
+
+
+@query("SELECT node_id, CASE attack_type WHEN 'benign' THEN 0 WHEN 'portscan' THEN 2 WHEN 'bot' THEN 3 ELSE 1 END AS family FROM phase2_sampled_500k")
+def q_label_remap(s, d):
+    m = F.create_map(*[F.lit(x) for kv in {"benign": 0, "portscan": 2, "bot": 3}.items() for x in kv])
+    return table(s, d, "phase2_sampled_500k").select("node_id", F.coalesce(m[F.coalesce("attack_type", F.lit(""))], F.lit(1)).alias("family"))
+
+
 # --- learning (rows only: fitted models are not SQL) ----------------------------------------------------------------
 
 

@@ -54,3 +54,26 @@ def class_counts_sink(table_path: str, column: str) -> Callable[[DataFrame, int]
         batch.groupBy(column).agg(F.count("*").alias("n")).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{table_path}/batch={batch_id}")
 
     return write
+
+
+def last_n_per_key(df: DataFrame, key: str, order: str, value: str, n: int) -> DataFrame:
+    """Count-based sliding window on a stream: after each micro-batch, per key that got rows, how many rows were seen,
+    how many of the last n are held, and their mean. State per key is the last n values, so it does not grow.
+
+    Rows of one micro-batch are taken in `order`; the order across batches is that of arrival.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def update(k, batches, state):
+        seen, recent = state.get if state.exists else (0, [])
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        recent = [*recent, *rows[value].dropna().tolist()][-n:]
+        seen += len(rows)
+        state.update((seen, recent))
+        yield pd.DataFrame({key: [k[0]], "seen": [seen], "held": [len(recent)], "mean": [sum(recent) / len(recent) if recent else None]})
+
+    kind = dict(df.dtypes)[key]
+    out = f"`{key}` {kind}, seen long, held long, mean double"
+    slim = df.select(key, order, df[value].cast("double").alias(value))
+    return slim.groupBy(key).applyInPandasWithState(update, out, "seen long, recent array<double>", "update", GroupStateTimeout.NoTimeout)

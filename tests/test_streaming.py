@@ -67,3 +67,13 @@ def test_stream_join(spark, tmp_path):
     spark.createDataFrame([(1, T0 + dt.timedelta(minutes=5)), (2, T0 + dt.timedelta(hours=5))], "k int, t2 timestamp").write.parquet(b)
     s = windows.stream_interval_join(windows.file_stream(spark, a, spark.read.parquet(a).schema, 9), windows.file_stream(spark, b, spark.read.parquet(b).schema, 9), "k", "t1", "t2", "1 hour", "2 hours")
     assert [r[0] for r in collect(spark, s.select(F.col("a.k")), tmp_path)] == [1]
+
+
+def test_last_n_per_key(spark, tmp_path):
+    batch = events(spark, str(tmp_path / "in"), 40)
+    stream = windows.file_stream(spark, str(tmp_path / "in"), batch.schema)
+    got = collect(spark, windows.last_n_per_key(stream, "kind", "id", "value", 5), tmp_path, "update")
+    final = {k: (seen, held, mean) for k, seen, held, mean in sorted(got, key=lambda r: r[1])}
+    for i, k in enumerate("abc"):
+        v = list(range(i, 40, 3))
+        assert final[k] == (len(v), 5, sum(v[-5:]) / 5)

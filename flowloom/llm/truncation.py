@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from flowloom.session import checkpointed
+
 END = "¶"
 
 TOKENS = r"""
@@ -126,7 +128,8 @@ def judged_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     tokens = sql(TOKENS, docs=docs)
     final = sql(FINAL, tokens=tokens)
     # blind to the texts themselves from here on: counts over all documents
-    trigrams = sql(TRIGRAMS, tokens=tokens)
+    # distinct trigrams are read six times, so they are written once
+    trigrams = checkpointed(sql(TRIGRAMS, tokens=tokens))
     bigrams = sql("SELECT '¶' AS c2, c1, w, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {t} GROUP BY c1, w", t=trigrams)
     unigrams = sql("SELECT '¶' AS c2, '¶' AS c1, w, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {b} GROUP BY w", b=bigrams)
     return sql(

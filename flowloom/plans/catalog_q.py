@@ -757,3 +757,5 @@ o AS (SELECT node_id, min(CASE WHEN e IS NULL THEN 0 WHEN len(e) <> 78 THEN 1 WH
 SELECT 'raw_flows' AS table_name, line_id AS record_id, CASE whole WHEN 0 THEN 'quoting' ELSE 'column_count' END AS reason FROM w WHERE whole IS NOT NULL
 UNION ALL SELECT 'raw_flows', line_id, 'bad_value' FROM bad
 UNION ALL SELECT 'phase2_features', node_id, CASE c WHEN 0 THEN 'quoting' WHEN 1 THEN 'column_count' ELSE 'bad_value' END FROM o WHERE c IS NOT NULL"""
+
+SQL["p7_clean_lines"] = f"WITH bad_lines AS ({SQL['p7_found']}) SELECT line_id, file_id, line_no, line_text FROM raw_flows r WHERE line_no > 1 AND line_text IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bad_lines b WHERE b.table_name = 'raw_flows' AND b.record_id = r.line_id)"

@@ -124,6 +124,8 @@ UNIT = "SELECT node_id, list_transform(v, lambda x: coalesce(x, 0.0)) AS v FROM
 SQL = {
     "p1_found": f"""WITH r AS ({VEC}) SELECT least(a.node_id, b.node_id) AS node_a, greatest(a.node_id, b.node_id) AS node_b FROM r a JOIN r b ON a.split = 'train' AND b.split IN ('val', 'test')
 WHERE len(list_filter(list_zip(a.v, b.v), lambda p: coalesce(abs(p[1] - p[2]) <= 0.075001, false))) >= 74""",
+    "p1_report": f"""WITH r AS ({VEC}), p AS (SELECT b.node_id, min(78 - len(list_filter(list_zip(a.v, b.v), lambda p: coalesce(abs(p[1] - p[2]) <= 0.075001, false)))) AS best FROM r a JOIN r b ON a.split = 'train' AND b.split IN ('val', 'test') GROUP BY 1)
+SELECT split, source, count(*) AS records, count(*) FILTER (best <= 4) AS overlapping, count(*) FILTER (best = 0) AS within_tolerance FROM phase2_sampled_500k n LEFT JOIN p USING (node_id) WHERE split IN ('val', 'test') GROUP BY ALL""",
     "p2_found": f"""WITH r AS ({UNIT}), p AS (SELECT a.node_id AS q, b.node_id AS n, round(list_cosine_similarity(a.v, b.v), 9) AS c FROM r a JOIN r b ON a.node_id <> b.node_id),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS k FROM p WHERE c >= 0.97) WHERE k <= 5) SELECT DISTINCT least(q, n) AS node_a, greatest(q, n) AS node_b FROM t""",
     "p5_found": f"""WITH c AS (SELECT class, count(*) AS n FROM ({CLASS}) GROUP BY 1), s AS (SELECT count(*) // 4 AS s FROM phase2_sampled_500k)

@@ -42,21 +42,22 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarr
     graph: vertices x degree of vertex ids, -1 for none. entry: queries x any number of start vertices.
     """
     n_q, n = len(q), len(x)
-    seen = np.zeros((n_q, n), dtype=bool)
+    seen = np.zeros(n_q * n, dtype=bool)
     ids = np.full((n_q, ef), -1, dtype=np.int32)
     sims = np.full((n_q, ef), -np.inf, dtype=np.float32)
     open_ = np.zeros((n_q, ef), dtype=bool)
     active = np.arange(n_q)
     new = entry.astype(np.int32)
     while True:
-        ok = new >= 0
-        rows, cols = np.nonzero(ok)
-        flat = new[rows, cols]
-        fresh = ~seen[active[rows], flat]
-        rows, cols, flat = rows[fresh], cols[fresh], flat[fresh]
-        seen[active[rows], flat] = True
-        s = np.full(new.shape, -np.inf, dtype=np.float32)
-        s[rows, cols] = np.einsum("ij,ij->i", x[flat], q[active[rows]])
+        at = (active[:, None] * n + new).ravel()
+        fresh = new.ravel() >= 0
+        fresh &= ~seen.take(at, mode="clip")
+        where = np.flatnonzero(fresh)
+        seen[at.take(where)] = True
+        s = np.full(new.size, -np.inf, dtype=np.float32)
+        left, right = x.take(new.ravel().take(where), axis=0), q.take(active.take(where // new.shape[1]), axis=0)
+        s[where] = np.einsum("ij,ij->i", left, right)
+        s = s.reshape(new.shape)
         cand = np.where(np.isfinite(s), new, -1)
         # duplicates within one expansion get a similarity only once, as seen[] is set for all of them together
         if new.shape[1] > 1:
@@ -91,7 +92,7 @@ def _diverse(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, m: int) -> np.nda
     """Of each row's candidates (best first) the neighbours to keep: those nearer to the vertex than to any kept one."""
     n, c = ids.shape
     v = x[np.maximum(ids, 0)]
-    among = np.einsum("nid,njd->nij", v, v)
+    among = np.matmul(v, v.transpose(0, 2, 1))
     kept = np.zeros((n, c), dtype=bool)
     valid = np.isfinite(sims) & (ids >= 0)
     count = np.zeros(n, dtype=int)
@@ -126,7 +127,7 @@ def _link_back(x: np.ndarray, graph: np.ndarray, sources: np.ndarray, m: int) ->
         cand = np.concatenate([graph[u], extra], 1)
         cand.sort(axis=1)
         cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-        sims = np.einsum("nd,njd->nj", x[u], x[np.maximum(cand, 0)])
+        sims = np.matmul(x[np.maximum(cand, 0)], x[u][:, :, None])[:, :, 0]
         sims[cand < 0] = -np.inf
         ids, sims = _top(cand, sims, min(cand.shape[1], m + m // 2))
         graph[u] = _diverse(x, ids, sims, m)
@@ -181,7 +182,7 @@ def descend(x: np.ndarray, upper: list[np.ndarray], q: np.ndarray) -> np.ndarray
     return entry
 
 
-def search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, k: int, ef: int, batch: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+def search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, k: int, ef: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
     out_i, out_s = [], []
     for lo in range(0, len(q), batch):
         part = q[lo : lo + batch]
@@ -210,7 +211,9 @@ def graphs(reps: DataFrame, shards: int, m: int, ef: int) -> DataFrame:
         row = (int(pdf["shard"].iloc[0]), len(x), x.shape[1], pdf["h1"].to_numpy(np.int64).tobytes(), pdf["h2"].to_numpy(np.int64).tobytes(), x.tobytes(), [g.tobytes() for g in layers], [len(g) for g in layers])
         return pd.DataFrame([row], columns=["shard", "n", "dim", "keys1", "keys2", "vectors", "layers", "sizes"])
 
-    return reps.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(make, GRAPH)
+    # few heavy groups: more partitions than groups, and a given number, which AQE does not coalesce
+    dealt = reps.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).repartition(8 * shards, "shard")
+    return dealt.groupBy("shard").applyInPandas(make, GRAPH)
 
 
 def nearest_classes(reps: DataFrame, k: int, shards: int, query_blocks: int, m: int = 16, ef_build: int = 56, ef: int = 72) -> DataFrame:
@@ -238,6 +241,8 @@ def nearest_classes(reps: DataFrame, k: int, shards: int, query_blocks: int, m:
         other = (k1[hit] != h1) | (k2[hit] != h2)
         return pd.DataFrame({"h1": h1[other], "h2": h2[other], "g1": k1[hit][other], "g2": k2[hit][other], "sim": sims[rows, c][other]})
 
+    parts = 8 * shards * query_blocks
+    index, queries = index.repartition(parts, "shard", "block"), queries.repartition(parts, "shard", "block")
     found = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "h1 long, h2 long, g1 long, g2 long, sim float")
     best = found.groupBy(*CLASS).agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "g1", "g2")), asc=False), 1, k).alias("b"))
     return best.select(*CLASS, F.explode("b").alias("e")).select(*CLASS, "e.g1", "e.g2", "e.sim")

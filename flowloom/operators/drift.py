@@ -73,6 +73,21 @@ def field_table(lines: DataFrame) -> DataFrame:
     return j.groupBy("file_id").agg(F.array_sort(F.collect_list(field)).alias("fields"))
 
 
+def time_cells(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """(file_id, line_id, time_text): the time cell of all undamaged lines of the files that have a time field.
+
+    The field is known by its content, whatever its name; of several the one with most times, then the first.
+    """
+    fields = fields if fields is not None else field_table(lines)
+    best = "array_sort(transform(filter(fields, f -> f.n > 0 and f.n_time * 2 >= f.n), f -> struct(-f.n_time as n, f.pos as pos)))"
+    at = fields.select("file_id", F.get(F.expr(best), F.lit(0))["pos"].alias("pos")).where("pos is not null")
+    head = headers(lines).select("file_id", "delim", "width").join(at, "file_id")
+    j = with_header(lines.select("file_id", "line_id", "line_no", "line_text"), head)
+    t, d = F.col("line_text"), F.col("delim")
+    j = j.where(t.isNotNull() & ~quoting_broken(t, d)).withColumn("cells", cells_of(t, d)).where(F.size("cells") == F.col("width"))
+    return j.select("file_id", "line_id", unquoted(F.get("cells", F.col("pos"))).alias("time_text"))
+
+
 def _is_label(f) -> bool:
     return f["n_class"] * 2 >= f["n"] > 0 or f["name"].removeprefix("f_") in LABEL_NAMES and (f["n_class"] + f["n_id"]) * 2 >= f["n"]
 

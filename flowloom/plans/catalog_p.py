@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import class_key
 from flowloom.operators import badrows, balanced, drift, timestamps
-from flowloom.session import table
+from flowloom.session import checkpointed, table
 
 EDGE = ["src", "dst", "weight", "edge_type"]
 
@@ -56,6 +56,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ok.groupBy("table_name", "node_id").agg(F.min("instant_us").alias("epoch_us"))
 
 
+def p6_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The undamaged lines of raw_flows whose file has a time field, with instant, status and reading; the sensor is the file's."""
+    cells = drift.time_cells(table(spark, d, "raw_flows")).join(table(spark, d, "capture_files").select("file_id", "sensor"), "file_id", "left")
+    # read twice, for the evidence and for the instants: the fields are profiled once
+    return timestamps.normalise_timestamps(checkpointed(cells), "time_text", "sensor", table(spark, d, "sensors").select("sensor", "tz_name", "date_order"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return drift.schema_changes(table(spark, d, "raw_flows"), table(spark, d, "capture_files"))
 
@@ -90,6 +97,7 @@ QUERIES = {
     "p4_unified": p4_unified,
     "p6_found": p6_found,
     "p6_instants": p6_instants,
+    "p6_lines": p6_lines,
     "p7_found": p7_found,
     "p7_clean_lines": p7_clean_lines,
     "p7_clean_vectors": p7_clean_vectors,

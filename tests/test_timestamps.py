@@ -1,5 +1,6 @@
 from datetime import UTC, datetime
 
+import __spark_entry__ as entry
 from flowloom.operators.timestamps import normalise_timestamps
 
 CAT = [("ny", "America/New_York", "mdy"), ("be", "Europe/Berlin", "dmy"), ("free", "UTC", None)]
@@ -56,5 +57,24 @@ def test_em_decides_by_the_source(spark):
     assert norm(spark, [("4/3/2025 10:00", "free")]) == [(None, "ambiguous")]
 
 
+def test_lines_of_files(spark, tmp_path):
+    texts = {
+        1: ["Seen,a,Label", "05/03/2025 06:07,1,benign", '"2025-03-05T06:07:08Z",2,bot', "05/03/2025 06:07,3", "n/a,4,bot"],  # one line is damaged
+        2: ["a;When", "1;03/05/2025 1:07:08 PM", "2;1741154828"],
+        3: ["a,Seen", "1,2025-03-05 06:07:08"],  # no sensor
+        4: ["a,b", "1,2"],  # no time field
+    }
+    lines = [(10 * f + n, f, n, t) for f, ts in texts.items() for n, t in enumerate(ts, 1)]
+    d = str(tmp_path)
+    spark.createDataFrame(lines, "line_id long, file_id long, line_no int, line_text string").write.parquet(f"{d}/raw_flows.parquet")
+    spark.createDataFrame([(1, "be"), (2, "ny"), (3, None), (4, "be")], "file_id long, sensor string").write.parquet(f"{d}/capture_files.parquet")
+    spark.createDataFrame(CAT, "sensor string, tz_name string, date_order string").write.parquet(f"{d}/sensors.parquet")
+    got = {r["line_id"]: (r["instant_us"], r["instant_status"]) for r in entry.queries()["p6_lines"](spark, d).collect()}
+    assert got == {
+        12: (us(2025, 3, 5, 5, 7), "ok"), 13: (us(2025, 3, 5, 6, 7, 8), "ok"), 15: (None, "none"),
+        22: (us(2025, 3, 5, 18, 7, 8), "ok"), 23: (us(2025, 3, 5, 6, 7, 8), "ok"), 32: (None, "no_zone"),
+    }
+
+
 def test_empty(spark):
     assert norm(spark, [("x", "ny")])[:0] == []

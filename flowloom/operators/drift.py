@@ -14,14 +14,18 @@ from __future__ import annotations
 
 import difflib
 import math
+from collections import Counter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import LABEL_NAMES, names_class
+from flowloom.functions.labels import CLASSES, LABEL_NAMES, canonical_label, class_name, fold, names_class
 from flowloom.operators.balanced import balanced_lag
 from flowloom.sources.delimited import cells_of, headers, is_decimal, is_int, quoting_broken, unquoted, with_header
+from flowloom.session import checkpointed
+
 
 def undamaged_cells(lines: DataFrame, head: DataFrame) -> DataFrame:
     """(file_id, pos, v): trimmed cells of all lines that parse and have the header's width."""
@@ -193,42 +197,201 @@ def schema_changes(lines: DataFrame, files: DataFrame, fields: DataFrame | None
     return j.mapInPandas(_change_batches, "file_id long, change_kind string, field_before string, field_after string")
 
 
-def _canonical_batches(batches):
-    for pdf in batches:
-        rows = []
-        for feed, pairs in zip(pdf["feed_id"], pdf["pairs"], strict=True):
-            root: dict[str, str] = {}
+LABEL, TIME = "label", "timestamp"  # Fixed values: the canonical names of the fields that are known by content.
+
 
-            def find(x: str, root=root) -> str:
-                while root.setdefault(x, x) != x:
-                    x = root[x]
-                return x
+def _role(f) -> str:
+    return LABEL if _is_label(f) else TIME if f["n_time"] * 2 >= f["n"] > 0 else ""
 
-            for p in sorted(pairs, key=lambda p: (p["field_before"], p["field_after"])):
-                a, b = find(p["field_before"]), find(p["field_after"])
-                if a != b:
-                    root[max(a, b, key=lambda s: (len(s), s))] = min(a, b, key=lambda s: (len(s), s))
-            rows += [(feed, x, find(x)) for x in list(root)]
-        yield pd.DataFrame(rows, columns=["feed_id", "name", "canonical"])
 
+def _vocabulary(fields: DataFrame) -> DataFrame:
+    """One row a header name over all files, with its pooled counts and sketch."""
+    x = fields.select(F.explode("fields").alias("f")).select("f.*")
+    w = F.col("n_num")
+    total = lambda c: F.sum(c).alias(c)
+    v = x.groupBy("name").agg(
+        F.count("*").alias("files"), total("n"), total("n_num"), total("n_time"), total("n_class"), total("n_id"),
+        F.sum(w * F.col("mean")).alias("s1"), F.sum(w * (F.col("sd") * F.col("sd") + F.col("mean") * F.col("mean"))).alias("s2"), F.sum(w * F.col("zero")).alias("s0"),
+    )
+    mean = F.coalesce(F.try_divide("s1", "n_num"), F.lit(0.0))
+    sd = F.sqrt(F.greatest(F.coalesce(F.try_divide("s2", "n_num"), F.lit(0.0)) - mean * mean, F.lit(0.0)))
+    return v.select("name", "files", "n", "n_num", "n_time", "n_class", "n_id", mean.alias("mean"), sd.alias("sd"), F.coalesce(F.try_divide("s0", "n_num"), F.lit(0.0)).alias("zero"))
 
-def unified_lines(lines: DataFrame, files: DataFrame, changes: DataFrame) -> DataFrame:
-    """(file_id, line_id, flow): all undamaged lines as maps from canonical field name to value.
 
-    A field and its renames within a feed share the shortest of their names. The name graph of a feed is bounded
-    by its vocabulary of header names, not by its lines.
+def _together_batches(batches):
+    """The pairs of names that stand in one header with the number of their files, each once a partition."""
+    seen: Counter[tuple[str, ...]] = Counter()
+    for pdf in batches:
+        seen.update(tuple(sorted(set(x))) for x in pdf["names"])
+    vocabulary = sorted({n for h in seen for n in h})
+    at = {n: i for i, n in enumerate(vocabulary)}
+    x = np.zeros((len(seen), len(at)))
+    for i, h in enumerate(seen):
+        x[i, [at[n] for n in h]] = 1
+    both = np.triu(x.T @ (x * np.array(list(seen.values()), dtype="float64").reshape(-1, 1)), 1)
+    a, b = np.nonzero(both)
+    yield pd.DataFrame({"a": [vocabulary[i] for i in a], "b": [vocabulary[i] for i in b], "n": both[a, b].astype("int64")}, columns=["a", "b", "n"])
+
+
+def canonical_names(vocabulary: list, renames: list[tuple[str, str, int]], together: dict[tuple[str, str], int], effective: int = 60) -> dict[str, str]:
+    """Header name -> canonical name, one for all feeds.
+
+    Names that any feed renames into each other are one field; the rest are matched by sketch and name, best first.
+    Names that stand in one header are never one field, nor are the groups they belong to, unless a feed renames one
+    into the other and most files of the rarer have only that one (the old name came back for a new field). The name
+    that most files use stands for the group. Times and labels are known by content (see _role) and take no part.
     """
-    feeds = files.select("file_id", "feed_id")
-    pairs = changes.where("change_kind = 'renamed'").join(feeds, "file_id").groupBy("feed_id").agg(F.collect_set(F.struct("field_before", "field_after")).alias("pairs"))
-    canon = pairs.mapInPandas(_canonical_batches, "feed_id long, name string, canonical string")
-    head = headers(lines)
-    named = head.join(feeds, "file_id", "left").select("file_id", "delim", "width", "feed_id", F.posexplode("names").alias("pos", "name"))
-    named = named.join(canon, ["feed_id", "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))
-    # a canonical name that the file has already is not given twice: the later field keeps its own
-    per_file = named.groupBy("file_id", "delim", "width").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical", "name"))).alias("f"))
-    keys = F.expr("transform(f, (x, i) -> if(exists(slice(f, 1, i), y -> y.canonical = x.canonical), concat(x.name, '_', i), x.canonical))")
-    per_file = per_file.select("file_id", "delim", "width", keys.alias("keys"))
-    j = with_header(lines.select("file_id", "line_id", "line_no", "line_text"), per_file)
+    # pooled counts are cut to those of a usual file: feeds differ more than the samples of one feed
+    rows = {}
+    for v in vocabulary:
+        share = min(1.0, effective / v["n"]) if v["n"] else 1.0
+        rows[v["name"]] = v | {c: v[c] * share for c in ("n", "n_num", "n_time", "n_class", "n_id")}
+    plain = sorted(n for n, v in rows.items() if not _role(v))
+    group = {n: {n} for n in plain}
+
+    renamed = {(min(a, b), max(a, b)) for a, b, _ in renames}
+
+    def apart(p: str, q: str) -> bool:
+        pair = (min(p, q), max(p, q))
+        return together.get(pair, 0) * 2 > (min(rows[p]["files"], rows[q]["files"]) if pair in renamed else 0)
+
+    def union(a: str, b: str) -> None:
+        x, y = group[a], group[b]
+        if x is not y and not any(apart(p, q) for p in x for q in y):
+            x |= y
+            for n in y:
+                group[n] = x
+
+    for a, b, _ in sorted(renames, key=lambda r: (-r[2], r[0], r[1])):
+        if a in group and b in group:
+            union(a, b)
+    close = []
+    for i, a in enumerate(plain):
+        for b in plain[i + 1 :]:
+            if group[a] is not group[b] and (a, b) not in together and difflib.SequenceMatcher(None, a, b).ratio() >= 0.6:
+                s = similarity(rows[a], rows[b])
+                if s > 0:
+                    close.append((-s, a, b))
+    for _, a, b in sorted(close):
+        union(a, b)
+    best = lambda g: min(g, key=lambda n: (-rows[n]["files"], len(n), n))
+    out = {n: best(group[n]) for n in plain}
+    return out | {n: _role(v) for n, v in rows.items() if n not in out}
+
+
+def unified_fields(fields: DataFrame, changes: DataFrame, max_names: int = 20_000) -> DataFrame:
+    """(file_id, keys, kinds, counts, numbers): per file the canonical name of each field in header order, each name once
+    a file, with its kind, number of values and of values that hold a number.
+
+    The names of all feeds are matched on the driver; their number is bounded and checked, it does not grow with lines.
+    """
+    vocabulary = [r.asDict() for r in _vocabulary(fields).limit(max_names + 1).collect()]
+    if len(vocabulary) > max_names:
+        raise ValueError(f"more than {max_names} header names")
+    renames = [tuple(r) for r in changes.where("change_kind = 'renamed'").groupBy("field_before", "field_after").count().collect()]
+    names = fields.select(F.expr("transform(fields, f -> f.name)").alias("names"))
+    together = {(r["a"], r["b"]): r["n"] for r in names.mapInPandas(_together_batches, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    canon = canonical_names(vocabulary, renames, together)
+
+    def keys(batches):
+        for pdf in batches:
+            out = []
+            for names, label, time in zip(pdf["names"], pdf["label"], pdf["time"], strict=True):
+                key, used = [""] * len(names), {LABEL, TIME}
+                # of several labels (or times) of a file the one with most content is it; without values the name decides
+                for role, content in ((LABEL, label), (TIME, time)):
+                    of = [i for i, c in enumerate(content) if c > 0 or c == 0 and canon[names[i]] == role]
+                    if of:
+                        key[max(of, key=lambda i: (content[i], -i))] = role
+                # where an old name came back beside its rename, the rename is the field that goes on
+                for i in sorted(range(len(names)), key=lambda i: canon[names[i]] == names[i]):
+                    if not key[i]:
+                        options = [canon[names[i]], names[i], *(f"{names[i]}_{k}" for k in range(2, len(names) + 4))]
+                        key[i] = next(n for n in options if n not in used)
+                        used.add(key[i])
+                out.append(key)
+            yield pd.DataFrame({"file_id": pdf["file_id"], "keys": out, "kinds": pdf["kinds"], "counts": pdf["counts"], "numbers": pdf["numbers"]})
+
+    # -1: other content, 0: no values, else the values of that content and one
+    content = "transform(fields, f -> case when f.n = 0 then 0L when {} then {} + 1L else -1L end)"
+    is_label = "f.n_class * 2 >= f.n or array_contains(array({}), regexp_replace(f.name, '^f_', '')) and (f.n_class + f.n_id) * 2 >= f.n".format(", ".join(f"'{n}'" for n in LABEL_NAMES))
+    of_file = fields.select(
+        "file_id", F.expr("transform(fields, f -> f.name)").alias("names"), F.expr(content.format(is_label, "f.n_class")).alias("label"), F.expr(content.format("f.n_time * 2 >= f.n", "f.n_time")).alias("time"),
+        F.expr("transform(fields, f -> f.kind)").alias("kinds"), F.expr("transform(fields, f -> f.n)").alias("counts"), F.expr("transform(fields, f -> f.n_num)").alias("numbers"),
+    )
+    return of_file.mapInPandas(keys, "file_id long, keys array<string>, kinds array<string>, counts array<long>, numbers array<long>")
+
+
+def _lines_with(lines: DataFrame, per_file: DataFrame) -> DataFrame:
+    """The undamaged lines as cells, with what per_file holds of their file."""
+    head = headers(lines).select("file_id", "delim", "width").join(per_file, "file_id")
+    j = with_header(lines.select("file_id", "line_id", "line_no", "line_text"), head)
     t, d = F.col("line_text"), F.col("delim")
-    j = j.where(t.isNotNull() & ~quoting_broken(t, d)).withColumn("cells", cells_of(t, d)).where(F.size("cells") == F.col("width"))
+    return j.where(t.isNotNull() & ~quoting_broken(t, d)).withColumn("cells", cells_of(t, d)).where(F.size("cells") == F.col("width"))
+
+
+def unified_lines(lines: DataFrame, files: DataFrame, changes: DataFrame, fields: DataFrame | None = None) -> DataFrame:
+    """(file_id, line_id, flow): all undamaged lines as maps from canonical field name to the text of the value."""
+    fields = fields if fields is not None else checkpointed(field_table(lines))
+    j = _lines_with(lines, unified_fields(fields, changes).select("file_id", "keys"))
     return j.select("file_id", "line_id", F.map_from_arrays("keys", F.transform("cells", unquoted)).alias("flow"))
+
+
+def number_of(v: Column) -> Column:
+    """The number a cell writes, as double: plain, hexadecimal, counted (n12), in thousands (1.5k) or in microseconds (12 us)."""
+    double = lambda c: c.try_cast("double")
+    return (
+        F.when(is_int(v) | is_decimal(v), double(v))
+        .when(v.rlike(r"^0[xX][0-9a-fA-F]{1,13}$"), double(F.conv(v.substr(F.lit(3), F.length(v)), 16, 10)))
+        .when(v.rlike(r"^n[0-9]+$"), double(v.substr(F.lit(2), F.length(v))))
+        .when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?k$"), F.round(double(F.regexp_extract(v, "^(.*)k$", 1)) * 1000, 3))
+        .when(v.rlike(r"^[+-]?[0-9]+(\.[0-9]+)? ?us$"), double(F.regexp_extract(v, "^(.*?) ?us$", 1)))
+    )
+
+
+def class_of(v: Column) -> Column:
+    """The class a label cell names by text or id; other texts stay as they are."""
+    i = F.regexp_replace(v, "^[+]?0*(?=[0-9])", "")
+    return F.when(names_class(v) | (fold(v) == "unknown"), canonical_label(v)).when(i.isin(*map(str, range(len(CLASSES)))), class_name(i.try_cast("int"))).when(v != "", v)
+
+
+def field_types(keys: DataFrame) -> dict[str, str]:
+    """Canonical name -> string, bigint or double, one for all files.
+
+    A field is a number if it is one in some file and nine tenths of its values hold one, also with a unit or prefix;
+    it is a double if any file has decimals.
+    """
+    j = keys.select(F.explode(F.arrays_zip("keys", "kinds", "counts", "numbers")).alias("x")).select("x.*")
+    plain = F.col("kinds").isin("integer", "decimal")
+    g = j.groupBy("keys").agg(
+        F.count_if(plain).alias("p"), F.count_if(F.col("kinds") == "decimal").alias("d"), F.sum("counts").alias("n"), F.sum(F.when(plain, F.col("counts")).otherwise(F.col("numbers"))).alias("m")
+    )
+    return {r["keys"]: "string" if r["keys"] in (LABEL, TIME) or not r["p"] or r["m"] * 10 < r["n"] * 9 else "double" if r["d"] else "bigint" for r in g.collect()}
+
+
+def unified_table(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, line_id, flow, rest): all undamaged lines with flow as a struct of one typed field per canonical name.
+
+    label is the class, timestamp the text as written (its instant needs the sensor). rest has the text of the cells
+    that are not of their field's type.
+    """
+    fields = checkpointed(field_table(lines))
+    keys = checkpointed(unified_fields(fields, schema_changes(lines, files, fields)))
+    types = field_types(keys)
+    names = [n for n in (LABEL, TIME) if n in types] + sorted(set(types) - {LABEL, TIME})
+    by = {t: [n for n in names if types[n] == t] for t in ("bigint", "double", "string")}
+    place = {t: F.transform(F.array(*[F.lit(n) for n in by[t]]), lambda n: F.array_position("keys", n).cast("int")) if by[t] else F.array().cast("array<int>") for t in by}
+    j = _lines_with(lines, keys.select("file_id", *[place[t].alias(f"at_{t}") for t in by]))
+    text = lambda t: F.transform(f"at_{t}", lambda i: F.when(i > 0, unquoted(F.get("cells", i - 1))))
+    j = j.select("file_id", "line_id", *[text(t).alias(f"t_{t}") for t in by])
+    whole = lambda v, x: F.when(is_int(v), v.try_cast("long")).when((x == F.floor(x)) & (F.abs(x) < 2.0**53), x.try_cast("long"))
+    j = j.withColumns({"v_bigint": F.transform("t_bigint", lambda v: whole(v, number_of(v))), "v_double": F.transform("t_double", number_of)})
+
+    def unread(t: str) -> Column:
+        z = F.arrays_zip(F.array(*[F.lit(n) for n in by[t]]).cast("array<string>").alias("k"), F.col(f"t_{t}").alias("t"), F.col(f"v_{t}").alias("v"))
+        left = F.filter(z, lambda x: (x["t"] != "") & x["v"].isNull())
+        return F.transform(left, lambda x: F.struct(x["k"].alias("key"), x["t"].alias("value")))
+
+    value = {t: {n: F.get(f"{'t' if t == 'string' else 'v'}_{t}", F.lit(i)) for i, n in enumerate(by[t])} for t in by}
+    typed = [(class_of(value["string"][n]) if n == LABEL else F.when(value["string"][n] != "", value["string"][n]) if types[n] == "string" else value[types[n]][n]).alias(n) for n in names]
+    return j.select("file_id", "line_id", F.struct(*typed).alias("flow"), F.map_from_entries(F.concat(unread("bigint"), unread("double"))).alias("rest"))

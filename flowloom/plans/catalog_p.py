@@ -68,8 +68,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
-    lines, files = table(spark, d, "raw_flows"), table(spark, d, "capture_files")
-    return drift.unified_lines(lines, files, drift.schema_changes(lines, files))
+    return drift.unified_table(table(spark, d, "raw_flows"), table(spark, d, "capture_files"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

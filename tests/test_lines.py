@@ -109,6 +109,39 @@ def test_unified(spark):
     assert u.count() == 24 and {tuple(sorted(r["flow"])) for r in u.collect()} in ({("class", "flow_rate", "idle_max")}, {("flow_rate", "idle_max", "label")})
 
 
+def test_unified_over_feeds(spark):
+    when = lambda i: f"2025-03-05 06:07:{i:02d}"
+    df = lines(
+        spark,
+        {
+            1: body("Seen,Idle Max,Flow Rate,Label", f=lambda i: f"{when(i)},{i * 10},{i}.5,benign"),
+            2: body("seen,rest_max,flow rate,class", f=lambda i: f"{when(i)},{i * 10} us,{i}.5,DoS Hulk"),  # retyped
+            3: body("When;idle max;flow_rate;Class", f=lambda i: f"{when(i)};{i * 10};{i};1"),  # another feed, label by id
+            4: body("flow_rte,target", f=lambda i: f"{i}.5,{i * 1000}"),  # a variant that no feed renames; its target is no label
+        },
+    )
+    f = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 3, 1)], "file_id long, feed_id long, file_seq int")
+    u = drift.unified_table(df, f)
+    assert {c.name: c.dataType.simpleString() for c in u.schema["flow"].dataType} == {"label": "string", "timestamp": "string", "flow_rate": "double", "idle_max": "bigint", "target": "bigint"}
+    got = {(r["file_id"], r["flow"]["flow_rate"]): (r["flow"]["label"], r["flow"]["timestamp"], r["flow"]["idle_max"], r["flow"]["target"], r["rest"]) for r in u.collect()}
+    assert u.count() == 48 and len(got) == 48
+    assert got[1, 3.5] == ("benign", when(3), 30, None, {}) and got[2, 3.5] == ("dos_hulk", when(3), 30, None, {})
+    assert got[3, 3.0] == ("ddos", when(3), 30, None, {}) and got[4, 3.5] == (None, None, None, 3000, {})
+
+
+def test_name_that_comes_back_beside_its_rename():
+    v = [{"name": n, "files": k, "n": 20 * k, "n_num": 20 * k, "n_time": 0, "n_class": 0, "n_id": 0, "mean": 3.0, "sd": 1.0, "zero": 0.0} for n, k in (("proto", 30), ("f_proto", 16), ("fwd_max", 40), ("bwd_max", 40))]
+    both = {("f_proto", "proto"): 6, ("bwd_max", "fwd_max"): 38}
+    got = drift.canonical_names(v, [("proto", "f_proto", 1), ("fwd_max", "bwd_max", 1)], both)
+    assert got == {"proto": "proto", "f_proto": "proto", "fwd_max": "fwd_max", "bwd_max": "bwd_max"}
+
+
+def test_numbers_of_retyped_cells(spark):
+    cases = {"12": 12.0, "-1.5": -1.5, "0x10a8": 4264.0, "n32": 32.0, "9.2k": 9200.0, "593 us": 593.0, "10x": None, "1f": None, "": None, "Idle Max": None}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", drift.number_of(F.col("t")).alias("v")).collect()} == cases
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), min_size=3, max_size=3), min_size=1, max_size=4))
 def test_matching_is_maximal(w):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -85,7 +85,11 @@ def exact_knn(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosin
 
 def knn_ivf(df: DataFrame, key: str, vector: str, k: int, cells: int = 16, probes: int = 4, sample: int = 20_000, threshold: float | None = None) -> DataFrame:
     """(src, dst, weight): approximate k nearest by cosine. Cells come from KMeans on at most `sample` vectors; every
-    vector is indexed in its nearest cell and looked up in its `probes` nearest ones; all probes = exact."""
+    vector is indexed in its nearest cell and looked up in its `probes` nearest ones; all probes = exact.
+
+    Exact copies are one class, only classes meet in the cells. A class needs the k + 1 nearest classes (itself included)
+    and of each the k + 1 smallest ids: no other row can be among the k nearest of one of its rows.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -101,12 +105,22 @@ def knn_ivf(df: DataFrame, key: str, vector: str, k: int, cells: int = 16, probe
             pdf["c"] = list(np.argsort(-d, axis=1)[:, :n_probe].astype("int32"))
             yield pdf
 
-    assigned = v.mapInPandas(assign, "id long, x array<double>, c array<int>")
+    classes = v.groupBy("x").agg(F.min("id").alias("id")).select("id", "x")
+    member = v.join(classes.withColumnRenamed("id", "class"), "x").select("id", "class")
+    assigned = classes.mapInPandas(assign, "id long, x array<double>, c array<int>")
     left = assigned.select(F.col("id").alias("src"), F.col("x").alias("q"), F.explode("c").alias("cell"))
     right = assigned.select(F.col("id").alias("dst"), "x", F.col("c")[0].alias("cell"))
     dot = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
-    near = left.join(right, "cell").where("src <> dst").select("src", "dst", F.round(dot, 6).alias("weight"))
+    near = left.join(right, "cell").select("src", "dst", F.round(dot, 6).alias("weight"))
     if threshold is not None:
         near = near.where(F.col("weight") >= threshold)
-    best = near.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("d"), "dst", "weight"))), 1, k).alias("b"))
-    return best.select("src", F.explode("b").alias("e")).select("src", "e.dst", "e.weight")
+
+    def nearest(rows: DataFrame, n: int) -> DataFrame:
+        top = rows.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("d"), "dst", "weight"))), 1, n).alias("b"))
+        return top.select("src", "b")
+
+    first = member.withColumn("r", F.row_number().over(Window.partitionBy("class").orderBy("id"))).where(F.col("r") <= k + 1).select("class", "id")
+    best = nearest(near, k + 1).select("src", F.explode("b").alias("e")).select("src", F.col("e.dst").alias("class"), "e.weight")
+    best = nearest(best.join(first, "class").select("src", F.col("id").alias("dst"), "weight"), k + 1).withColumnRenamed("src", "class")
+    out = member.join(best, "class").select(F.col("id").alias("src"), F.expr(f"slice(filter(b, e -> e.dst <> id), 1, {k})").alias("b"))
+    return out.select("src", F.explode("b").alias("e")).select("src", "e.dst", "e.weight")

@@ -254,7 +254,7 @@ def q_knn_l2(s, d):
 
 @query()
 def q_knn_ivf(s, d):
-    return vector.knn_ivf(table(s, d, "embeddings"), "vec_id", "embedding", 3, cells=16, probes=8, threshold=0.3)
+    return vector.knn_ivf(table(s, d, "embeddings"), "vec_id", "embedding", 3, cells=16, probes=11, threshold=0.3)
 
 
 @query(f"SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x))) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS l1_of_unit FROM ({EMB})")

@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from flowloom.functions.labels import canonical_label, class_key
 from flowloom.operators import features, graph, learning, metrics, sampling, vector
 from flowloom.sources import files
@@ -100,6 +101,23 @@ def test_ivf_with_all_probes_is_exact(spark):
     assert rows(a, "src", "dst") == rows(b, "src", "dst")
 
 
+def test_ivf_collapses_copies(spark):
+    # 200 copies of one vector and 40 others: with all probes as exact, and the copies never meet pair by pair
+    one = F.when(F.col("id") % 6 > 0, F.lit(0.0)).otherwise(F.col("id"))
+    df = spark.range(240).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.sin(one * (i + 1.7) + 0.3 * (i + 1))).alias("v"))
+    a, b = vector.knn_ivf(df, "id", "v", 3, cells=5, probes=5), vector.exact_knn(df, "id", "v", 3)
+    assert rows(a, "src", "dst") == rows(b, "src", "dst")
+    assert df.select("v").distinct().count() == 40
+    assert "Aggregate [x#" in a._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ivf_recall_of_the_query(spark):
+    d = "/root/testdata/sf0.1"
+    q = entry.queries()
+    found, true = ({tuple(r) for r in q[n](spark, d).select("src", "dst").collect()} for n in ("q_knn_ivf", "q_knn_cosine"))
+    assert len(found & true) >= 0.9 * len(true)
+
+
 def test_sampling(spark):
     df = spark.range(500).select(F.col("id"), F.when(F.col("id") % 3 > 0, "x").when(F.col("id") % 7 > 0, "y").alias("g"))
     c = {r["g"]: r["count"] for r in sampling.capped(df, "g", "id", {"x": 10}).groupBy("g").count().collect()}

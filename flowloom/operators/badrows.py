@@ -87,6 +87,8 @@ def vector_errors(df: DataFrame, key: str, text: str, size: int = 78) -> DataFra
 
 
 def parsed_vectors(df: DataFrame, key: str, text: str, size: int = 78) -> DataFrame:
-    """The rows whose vector reads, with `vector` array<double>; null entries stay null."""
-    ok = df.where(F.col(text).isNotNull()).join(vector_errors(df, key, text, size).select(key), key, "left_anti")
-    return ok.withColumn("vector", F.transform(F.split(vector_body(F.col(text)), ",", -1), lambda x: F.trim(x).try_cast("double")))
+    """The rows whose own vector reads, with `vector` array<double>; null entries stay null."""
+    cells = F.split(vector_body(F.col(text)), ",", -1)
+    # each row by itself: a damaged repeat of a key leaves the key's other rows
+    ok = df.where(F.col(text).isNotNull()).withColumn("__cells", cells).where((F.size("__cells") == size) & F.forall("__cells", lambda x: F.trim(x).rlike(NUMBER)))
+    return ok.withColumn("vector", F.transform("__cells", lambda x: F.trim(x).try_cast("double"))).drop("__cells")

@@ -173,3 +173,8 @@ def test_vector_errors(spark):
     ok = badrows.parsed_vectors(df, "node_id", "features", 3)
     assert sorted(r["node_id"] for r in ok.collect()) == [1, 2, 3, 12, 16]
     assert badrows.vector_errors(df.limit(0), "node_id", "features", 3).count() == 0
+
+
+def test_damaged_repeat_of_a_node(spark):
+    df = spark.createDataFrame([(1, "[1,2"), (1, "[1,2,3]"), (1, None), (2, "[1,2,x]"), (2, "[1,2]")], "node_id long, features string")
+    assert [(r["node_id"], r["vector"]) for r in badrows.parsed_vectors(df, "node_id", "features", 3).collect()] == [(1, [1.0, 2.0, 3.0])]

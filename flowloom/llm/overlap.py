@@ -1,20 +1,22 @@
 """Same or near-same records across splits, as a weighted cosine join over inverted lists.
 
-A vector becomes a sparse term-weight vector: its positions are dealt into blocks, and the quantised values of a
-block are one term. Rare terms weigh more. Two vectors that differ in at most `max_diff` positions share all but
-`max_diff` of their blocks, so their weighted dot product is at least the vector's total weight less its `max_diff`
-largest weights. That lower bound prunes twice:
-
-* maximum-weight pruning: only the heaviest terms of a train vector are indexed, as many as are needed so that the
-  residual (the weight of the rest) cannot reach the bound alone;
-* residual-norm pruning: a candidate survives only if its partial dot product plus the residual reaches the bound.
-
-Survivors are compared exactly, position by position. Quantisation loses nothing: the probing side (val, test) looks
-up every cell its tolerance interval touches. Exact copies are joined once per class and expanded at the end, so a
-hot group of copies costs one list entry.
-
-Defined results: null, NaN and infinite entries differ from everything, also from each other; null vectors or vectors
-of another length match nothing; empty input gives no rows; each record pair comes once.
+A record becomes a sparse vector of terms: its positions are dealt into blocks, and the quantised values of one block
+are one term. Rare terms weigh more, w = 1 / (1 + ln df), and every train vector is brought to unit length, so its
+squared weights u^2 sum to 1. A held-out record matches a term of a train vector if each of its values lies within the
+tolerance of the term's cells; its projection on the train vector's terms has the cosine sqrt(sum of matched u^2). Two
+records that differ in at most `max_diff` positions miss at most `max_diff` terms, so that cosine is at least
+theta = sqrt(1 - the `max_diff` largest u^2). That bound prunes twice:
+
+* maximum weight: only the heaviest terms of a train vector are indexed, as many as are needed so that the rest, of
+  residual norm r, cannot reach theta alone;
+* residual norm: a pair goes on only if its partial dot product over the lists plus r^2 reaches theta^2.
+
+Pairs that are left get the exact dot product over all terms, then the exact count of differing positions. Nothing is
+lost: the probing side (val, test) looks up every cell its tolerance touches. Records equal in every finite value are
+joined once as a class and expanded at the end, so a hot group of copies costs one list entry.
+
+Defined results: null, NaN and infinite entries are one kind of value that differs from everything, also from itself;
+null vectors or vectors of another length match nothing; empty input gives no rows; each record pair comes once.
 """
 
 from __future__ import annotations
@@ -23,54 +25,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CLASS = ["h1", "h2"]
-
-
-def _blocks(size: int, count: int) -> list[list[int]]:
-    return [list(range(b, size, count)) for b in range(count)]
+HELD = ["g1", "g2"]
 
 
 def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def _classes(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """One row per distinct vector: its 128-bit class id and the vector."""
-    return df.where(F.size(vector) == size).groupBy(*CLASS).agg(F.first(vector).alias("x"))
+def canonical(vector: Column) -> Column:
+    """array<double> without nulls: entries that are not finite are NaN. A null would be skipped by a hash of the array."""
+    return F.transform(vector, lambda v: F.when(_finite(v), v.cast("double")).otherwise(F.lit(float("nan"))))
+
+
+def _with_class(df: DataFrame, vector: str, size: int) -> DataFrame:
+    """The rows with a vector of the right length as x, and a 128-bit id of it."""
+    d = df.where(F.size(vector) == size).withColumn("x", canonical(F.col(vector)))
+    return d.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit(7), F.col("x")))
 
 
-def _with_class(df: DataFrame, vector: str) -> DataFrame:
-    return df.withColumn("h1", F.xxhash64(vector)).withColumn("h2", F.xxhash64(F.lit(7), F.col(vector)))
+def _classes(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*CLASS).agg(F.first("x").alias("x"))
 
 
-def _terms_exact(x: Column, size: int, count: int, cell: float) -> Column:
-    out = []
-    for b, positions in enumerate(_blocks(size, count)):
-        h = F.lit(b).cast("long")
-        ok = F.lit(True)
-        for p in positions:
-            v = x[p].cast("double")
-            ok = ok & _finite(v)
-            h = F.xxhash64(h, F.floor(v / cell))
-        out.append(F.when(ok, h))
-    return F.filter(F.array(*out), lambda t: t.isNotNull())
+def _cells(x: str, cell: float, by: float) -> Column:
+    """The cell of every value moved by `by`; null if it is not finite. Zero lies in the middle of its cell."""
+    return F.expr(f"transform({x}, v -> case when not isnan(v) then cast(floor((v + {by!r}D) / {cell!r}D + 0.5D) as bigint) end)")
 
 
-def _fork(lo: Column, hi: Column):
-    return lambda h: F.when(lo == hi, F.array(F.xxhash64(h, lo))).otherwise(F.array(F.xxhash64(h, lo), F.xxhash64(h, hi)))
+def _positions(size: int, count: int) -> list[str]:
+    return [f"array({', '.join(map(str, range(b, size, count)))})" for b in range(count)]
 
 
-def _terms_probed(x: Column, size: int, count: int, cell: float, tolerance: float) -> Column:
-    out = []
-    for b, positions in enumerate(_blocks(size, count)):
-        acc = F.array(F.lit(b).cast("long"))
-        ok = F.lit(True)
-        for p in positions:
-            v = x[p].cast("double")
-            ok = ok & _finite(v)
-            lo, hi = F.floor((v - tolerance) / cell), F.floor((v + tolerance) / cell)
-            acc = F.flatten(F.transform(acc, _fork(lo, hi)))
-        out.append(F.when(ok, acc).otherwise(F.array().cast("array<bigint>")))
-    return F.flatten(F.array(*out))
+def _terms(cells: str, size: int, count: int) -> Column:
+    """One term a block, null where a value of the block is not finite."""
+    # a hash skips nulls, so both have to be tested
+    step = f"(h, p) -> case when h is not null and {cells}[p] is not null then xxhash64(h, {cells}[p]) end"
+    return F.expr(f"array({', '.join(f'aggregate({p}, {b}L, {step})' for b, p in enumerate(_positions(size, count)))})")
+
+
+def _terms_probed(lo: str, hi: str, size: int, count: int) -> Column:
+    """All terms of all blocks that the intervals between the cells lo and hi touch."""
+    fork = f"case when {lo}[p] is null then cast(array() as array<bigint>) when {lo}[p] = {hi}[p] then transform(a, h -> xxhash64(h, {lo}[p])) else flatten(transform(a, h -> array(xxhash64(h, {lo}[p]), xxhash64(h, {hi}[p])))) end"
+    return F.expr(f"concat({', '.join(f'aggregate({p}, array({b}L), (a, p) -> {fork})' for b, p in enumerate(_positions(size, count)))})")
 
 
 def differing(a: Column, b: Column, tolerance: float) -> Column:
@@ -79,17 +75,33 @@ def differing(a: Column, b: Column, tolerance: float) -> Column:
     return F.aggregate(flag, F.lit(0), lambda s, v: s + v)
 
 
-def index_lists(train: DataFrame, size: int, max_diff: int, blocks: int, cell: float, extra: int) -> DataFrame:
-    """(term, h1, h2, weight, need): the pruned inverted lists of the distinct train vectors."""
-    bad = F.size(F.filter("x", lambda v: ~_finite(v)))
-    terms = train.withColumn("room", F.lit(max_diff) - bad).where("room >= 0").select(*CLASS, "room", F.explode(_terms_exact(F.col("x"), size, blocks, cell)).alias("term"))
+def unit_vectors(train: DataFrame, size: int, max_diff: int, blocks: int, cell: float) -> DataFrame:
+    """(h1, h2, room, t): per distinct train vector its terms as structs (u2, b, term), heaviest first; the u2 sum to 1.
+
+    room is how many positions may still differ; vectors with more values that are not finite are left out.
+    """
+    room = F.lit(max_diff) - F.size(F.filter("x", lambda v: F.isnan(v)))
+    d = train.select(*CLASS, room.alias("room"), _cells("x", cell, 0.0).alias("c")).where("room >= 0")
+    terms = d.select(*CLASS, "room", F.posexplode(_terms("c", size, blocks)).alias("b", "term")).where("term is not null")
     frequency = terms.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = terms.join(frequency, "term").withColumn("weight", 1.0 / (1.0 + F.log(F.col("df").cast("double"))))
-    ranked = weighted.groupBy(*CLASS, "room").agg(F.sort_array(F.collect_list(F.struct("weight", "term")), asc=False).alias("t"))
-    ranked = ranked.withColumn("kept", F.expr(f"slice(t, 1, room + 1 + {extra})"))
-    total = "aggregate({}, double(0), (s, e) -> s + e.weight)"
-    need = F.expr(total.format("kept") + " - " + total.format("slice(t, 1, room)"))
-    return ranked.select(*CLASS, need.alias("need"), F.explode("kept").alias("e")).select(*CLASS, "need", "e.term", "e.weight")
+    weighted = terms.join(frequency, "term").withColumn("w", 1.0 / (1.0 + F.log(F.col("df").cast("double"))))
+    g = weighted.groupBy(*CLASS, "room").agg(F.sort_array(F.collect_list(F.struct((F.col("w") * F.col("w")).alias("w2"), "b", "term")), asc=False).alias("t"))
+    g = g.withColumn("norm2", F.expr("aggregate(t, 0D, (s, e) -> s + e.w2)"))
+    return g.select(*CLASS, "room", F.expr("transform(t, e -> struct(e.w2 / norm2 as u2, e.b as b, e.term as term))").alias("t"))
+
+
+def index_lists(units: DataFrame, extra: int) -> DataFrame:
+    """(term, h1, h2, u2, rest, theta2): the pruned inverted lists with the squares of residual norm and least cosine."""
+    total = "aggregate({}, 0D, (s, e) -> s + e.u2)"
+    d = units.withColumn("kept", F.expr(f"slice(t, 1, room + 1 + {extra})"))
+    theta2 = F.expr(f"1D - {total.format('slice(t, 1, room)')}")
+    return d.select(*CLASS, F.expr(f"1D - {total.format('kept')}").alias("rest"), theta2.alias("theta2"), F.explode("kept").alias("e")).select(*CLASS, "rest", "theta2", "e.term", "e.u2")
+
+
+def exact_dot(t: str, c: str, lo: str, hi: str, size: int, blocks: int) -> Column:
+    """The dot product of a unit vector with its projection on a held-out record: u2 summed over the matched blocks."""
+    place = f"array({', '.join(_positions(size, blocks))})"
+    return F.expr(f"aggregate({t}, 0D, (s, e) -> s + if(forall({place}[e.b], p -> {c}[p] = {lo}[p] or {c}[p] = {hi}[p]), e.u2, 0D))")
 
 
 def overlap_classes(
@@ -103,37 +115,45 @@ def overlap_classes(
     max_diff: int = 4,
     tolerance: float = 0.075,
     blocks: int = 12,
-    cell: float = 0.45,
+    cell: float = 0.6,
     extra: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
-    """Pairs of classes of exact copies (h1, h2 in train; g1, g2 held out; n_diff) and the membership (key, split, h1, h2)."""
+    """Pairs of classes (h1, h2 in train; g1, g2 held out; cosine, n_diff) and the membership (key, split, h1, h2)."""
     if max_diff + 1 + extra > blocks:
         raise ValueError("blocks must exceed max_diff + extra")
+    if cell <= 2 * tolerance:
+        raise ValueError("a tolerance interval must touch at most two cells")
     tolerance += 1e-6
-    rows = _with_class(df.select(key, split, vector), vector)
-    left = _classes(rows.where(F.col(split) == train), vector, size)
-    right = _classes(rows.where(F.col(split).isin(*held_out)), vector, size)
-    lists = index_lists(left, size, max_diff, blocks, cell, extra)
-    probes = right.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.explode(_terms_probed(F.col("x"), size, blocks, cell, tolerance)).alias("term"))
-    partial = probes.join(lists, "term").groupBy(*CLASS, "g1", "g2").agg(F.sum("weight").alias("dot"), F.first("need").alias("need"))
-    survivors = partial.where(F.col("dot") >= F.col("need") - 1e-9).select(*CLASS, "g1", "g2")
-    exact = survivors.join(left, CLASS).join(right.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("x").alias("y")), ["g1", "g2"])
-    pairs = exact.withColumn("n_diff", differing(F.col("x"), F.col("y"), tolerance)).where(F.col("n_diff") <= max_diff)
-    return pairs.select(*CLASS, "g1", "g2", "n_diff"), rows.select(key, split, *CLASS)
+    rows = _with_class(df.select(key, split, vector), vector, size)
+    left = _classes(rows.where(F.col(split) == train))
+    right = _classes(rows.where(F.col(split).isin(*held_out))).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("x").alias("y"))
+    units = unit_vectors(left, size, max_diff, blocks, cell)
+    lists = index_lists(units, extra)
+    spans = right.withColumn("lo", _cells("y", cell, -tolerance)).withColumn("hi", _cells("y", cell, tolerance))
+    probes = spans.select(*HELD, F.explode(_terms_probed("lo", "hi", size, blocks)).alias("term"))
+    partial = probes.join(lists, "term").groupBy(*CLASS, *HELD).agg(F.sum("u2").alias("dot"), F.first("rest").alias("rest"), F.first("theta2").alias("theta2"))
+    survivors = partial.where(F.col("dot") + F.col("rest") >= F.col("theta2") - 1e-9).select(*CLASS, *HELD, "theta2")
+    full = left.join(units.select(*CLASS, "t"), CLASS).withColumn("c", _cells("x", cell, 0.0))
+    exact = survivors.join(full, CLASS).join(spans, HELD).withColumn("dot", exact_dot("t", "c", "lo", "hi", size, blocks))
+    exact = exact.where(F.col("dot") >= F.col("theta2") - 1e-9).withColumn("n_diff", differing(F.col("x"), F.col("y"), tolerance))
+    return exact.where(F.col("n_diff") <= max_diff).select(*CLASS, *HELD, F.sqrt("dot").alias("cosine"), "n_diff"), rows.select(key, split, *CLASS)
 
 
 def overlap_pairs(df: DataFrame, key: str, vector: str, split: str, **kw) -> DataFrame:
-    """(train_key, other_key, other_split, n_diff): every pair of one train and one held-out record."""
+    """(train_key, other_key, other_split, cosine, n_diff): every pair of one train and one held-out record."""
     pairs, members = overlap_classes(df, key, vector, split, **kw)
     a = members.where(F.col(split) == kw.get("train", "train")).select(F.col(key).alias("train_key"), *CLASS)
     b = members.where(F.col(split).isin(*kw.get("held_out", ("val", "test")))).select(F.col(key).alias("other_key"), F.col(split).alias("other_split"), F.col("h1").alias("g1"), F.col("h2").alias("g2"))
-    return pairs.join(a, CLASS).join(b, ["g1", "g2"]).select("train_key", "other_key", "other_split", "n_diff")
+    return pairs.join(a, CLASS).join(b, HELD).select("train_key", "other_key", "other_split", "cosine", "n_diff")
 
 
 def overlap_report(df: DataFrame, key: str, vector: str, split: str, source: str, **kw) -> DataFrame:
-    """Per split and source: records, records with an overlap in train, and exact ones among them."""
+    """Per split and source: records, records with an overlap in train, and those within the tolerance everywhere."""
+    held_out = kw.get("held_out", ("val", "test"))
     pairs, members = overlap_classes(df, key, vector, split, **kw)
-    hit = pairs.groupBy("g1", "g2").agg(F.min("n_diff").alias("best")).withColumnsRenamed({"g1": "h1", "g2": "h2"})
-    held = df.select(F.col(key), F.col(source)).join(members.where(F.col(split).isin(*kw.get("held_out", ("val", "test")))), key)
-    j = held.join(hit, CLASS, "left")
+    hit = pairs.groupBy(*HELD).agg(F.min("n_diff").alias("best")).withColumnsRenamed({"g1": "h1", "g2": "h2"})
+    # records whose vector is null or of another length are counted, too
+    all_ = df.where(F.col(split).isin(*held_out)).select(F.col(key), F.col(split), F.col(source))
+    best = members.where(F.col(split).isin(*held_out)).join(hit, CLASS).select(F.col(key), "best")
+    j = all_.join(best, key, "left")
     return j.groupBy(split, source).agg(F.count("*").alias("records"), F.count("best").alias("overlapping"), F.count_if(F.col("best") == 0).alias("within_tolerance"))

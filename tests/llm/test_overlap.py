@@ -1,5 +1,7 @@
 import random
 
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from flowloom.llm import overlap
@@ -50,3 +52,34 @@ def test_empty_and_report(spark):
     rep = overlap.overlap_report(df, "node_id", "features", "split", "source").collect()
     assert sum(r["records"] for r in rep) == df.where("split in ('val', 'test')").count()
     assert sum(r["overlapping"] for r in rep) == len({j for _, j in brute(make(60), 78)})
+
+
+def test_nulls_among_equal_values(spark):
+    """Vectors whose nulls stand at different places among equal values are different vectors, in either id order."""
+    t = [0.5] * 78
+    v1, v2 = list(t), list(t)
+    for p in (0, 1, 2, 3):
+        v1[p] = None
+    for p in (0, 1, 2, 3, 4):
+        v2[p] = None
+    v2[5], v1[5] = 0.5, 0.5
+    v3 = [0.5] * 74 + [None] * 4
+    for ids in ((1, 2, 3, 4), (9, 4, 3, 2), (1, 3, 2, 4)):
+        rows = [(ids[0], "train", t, "", ""), (ids[1], "val", v1, "", ""), (ids[2], "test", v2, "", ""), (ids[3], "test", v3, "", "")]
+        got = {(r["train_key"], r["other_key"]) for r in overlap.overlap_pairs(spark.createDataFrame(rows, SCHEMA), "node_id", "features", "split").collect()}
+        assert got == brute(rows, 78) == {(ids[0], ids[1]), (ids[0], ids[3])}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["train", "val"]), st.lists(st.sampled_from([None, float("nan"), 0.0, 0.3, 0.37]), min_size=8, max_size=8)), min_size=2, max_size=24))
+def test_small_vectors_equal_brute_force(spark, data):
+    rows = [(i, s, x, "", "") for i, (s, x) in enumerate(data)]
+    got = [(r["train_key"], r["other_key"]) for r in overlap.overlap_pairs(spark.createDataFrame(rows, SCHEMA), "node_id", "features", "split", size=8, max_diff=2, blocks=4, extra=1).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 8, most=2)
+
+
+def test_cosine_is_of_unit_vectors(spark):
+    rows = [(1, "train", [float(i) for i in range(78)], "", ""), (2, "val", [float(i) for i in range(78)], "", ""), (3, "val", [float(i) if i else 99.0 for i in range(78)], "", "")]
+    got = {r["other_key"]: r["cosine"] for r in overlap.overlap_pairs(spark.createDataFrame(rows, SCHEMA), "node_id", "features", "split").collect()}
+    # twelve terms of equal weight, one of them missed
+    assert abs(got[2] - 1) < 1e-9 and abs(got[3] - (11 / 12) ** 0.5) < 1e-9

@@ -40,7 +40,7 @@ def _quota(spark: SparkSession, d: str):
     s = _sampled(spark, d).select("node_id", "attack_type", "label_multiclass", "source", "split")
     s = s.join(F.broadcast(vocab), F.col("label_multiclass") == F.col("__id"), "left").withColumn("class", class_key(F.col("attack_type"), F.col("__name"))).drop("__id", "__name")
     targets = {r["attack_type"]: (r["target_share"], r["min_rows"]) for r in table(spark, d, "class_targets").collect()}
-    return quota.quota_sample(s, "node_id", ["class"], [targets])
+    return quota.quota_sample(s, "node_id", ["class"], [targets], fill=False)
 
 
 def p5_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -48,8 +48,7 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    sample, report = _quota(spark, d)
-    return quota.quota_report(spark, sample, report)
+    return _quota(spark, d)[1]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -131,3 +130,9 @@ t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC
     "p5_found": f"""WITH c AS (SELECT class, count(*) AS n FROM ({CLASS}) GROUP BY 1), s AS (SELECT count(*) // 4 AS s FROM phase2_sampled_500k)
 SELECT t.attack_type FROM class_targets t LEFT JOIN c ON t.attack_type = c.class, s WHERE coalesce(c.n, 0) < greatest(t.min_rows, CAST(floor(CAST(t.target_share AS DECIMAL(12, 6)) * s.s + 0.5) AS BIGINT))""",
 }
+
+WANTED = f"""c AS (SELECT class, count(*) AS n FROM ({CLASS}) GROUP BY 1), s AS (SELECT count(*) // 4 AS s FROM phase2_sampled_500k),
+w AS (SELECT t.attack_type, coalesce(c.n, 0) AS available, greatest(t.min_rows, CAST(floor(CAST(t.target_share AS DECIMAL(12, 6)) * s.s + 0.5) AS BIGINT)) AS wanted FROM class_targets t LEFT JOIN c ON t.attack_type = c.class, s)"""
+SQL["p5_report"] = f"WITH {WANTED} SELECT 'class' AS column_name, attack_type AS category, available, wanted, least(available, wanted) AS drawn, available >= wanted AS met FROM w"
+SQL["p5_sample"] = f"""WITH {WANTED}, r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(CAST(node_id AS VARCHAR) || ':5'), node_id) AS rn FROM (SELECT n.node_id, n.attack_type, n.label_multiclass, n.source, n.split, coalesce(regexp_replace(lower(trim(n.attack_type)), '[ /\\-]+', '_', 'g'), v.attack_type) AS class FROM phase2_sampled_500k n LEFT JOIN label_vocab v USING (label_multiclass)))
+SELECT r.* EXCLUDE (rn) FROM r JOIN w ON r.class = w.attack_type WHERE rn <= wanted"""

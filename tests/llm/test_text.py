@@ -99,11 +99,62 @@ def test_quota_sample(spark):
     s, rep = quota.quota_sample(df, "node_id", ["class"], [t], size=100)
     got = {r["class"]: r["count"] for r in s.groupBy("class").count().collect()}
     assert sum(got.values()) == 100 and got["rare"] == 5 and None not in got and s.distinct().count() == 100 and s.columns == df.columns
-    assert {r[1]: r[5] for r in rep} == {"big": True, "mid": True, "rare": False, "absent": False}
-    r = {x["category"]: x["drawn"] for x in quota.quota_report(spark, s, rep).collect()}
+    assert {r["category"]: r["met"] for r in rep.collect()} == {"big": True, "mid": True, "rare": False, "absent": False}
+    r = {x["category"]: x["drawn"] for x in rep.collect()}
     assert r["rare"] == 5 and r["absent"] == 0
     s, rep = quota.quota_sample(df.limit(0), "node_id", ["class"], [t])
-    assert s.count() == 0
+    assert s.count() == 0 and not any(r["met"] for r in rep.collect() if r["wanted"])
+
+
+def test_met_is_what_was_drawn(spark):
+    """Floors above the shares: with a fixed size a large class falls short and is reported, without it gets its rows."""
+    df = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(300)], "node_id long, class string")
+    t = {"a": (0.8, 15), "b": (0.1, 15), "c": (0.1, 15)}
+    for fill, drawn in ((True, {"a": 15, "b": 15, "c": 15}), (False, {"a": 32, "b": 15, "c": 15})):
+        _, rep = quota.quota_sample(df, "node_id", ["class"], [t], size=45 if fill else 40, fill=fill)
+        r = {x["category"]: x for x in rep.collect()}
+        assert {k: v["drawn"] for k, v in r.items()} == drawn and r["a"]["met"] == (not fill)
+
+
+def test_random_start_keeps_floors_and_size():
+    have, code = np.array([500, 3, 40, 7]), np.array([[0, 0], [1, 0], [0, 1], [2, 1]])
+    starts = [quota.random_start(have, code, [np.array([1, 5, 2]), np.array([10, 12])], 60, seed) for seed in range(5)]
+    for s in starts:
+        assert s.sum() == 60 and (s <= have).all() and s[1] == 3 and s[3] >= 2 and s[0] + s[1] >= 10 and s[2] + s[3] >= 12
+    assert len({tuple(s) for s in starts}) > 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.tuples(st.sampled_from("abc"), st.sampled_from("xy")), st.integers(0, 30), max_size=6), st.lists(st.integers(1, 9), min_size=5, max_size=5), st.integers(0, 60), st.booleans())
+def test_no_exchange_improves(have, w, size, fill):
+    t = [{v: (k / sum(w[:3]), k % 4) for v, k in zip("abc", w[:3], strict=True)}, {v: (k / sum(w[3:]), k % 3) for v, k in zip("xy", w[3:], strict=True)}]
+    take = quota.swap_repair(have, t, size, fill=fill)
+    assert all(0 <= take[s] <= have[s] for s in have)
+    if fill:
+        assert sum(take.values()) == min(size, sum(have.values()))
+
+    def cost(q):
+        total, n = 0, min(size, sum(have.values()))
+        for i in (0, 1):
+            for v, (share, floor) in t[i].items():
+                c = sum(k for s, k in q.items() if s[i] == v)
+                total += abs(c - quota.wanted(share, n, floor)) + (4 * n + 4) * max(0, floor - c)
+        return total
+
+    now = cost(take)
+    for a in have:
+        for b in have:
+            if a != b and take[a] > 0 and take[b] < have[b]:
+                assert cost(take | {a: take[a] - 1, b: take[b] + 1}) >= now
+
+
+def test_many_signatures_are_quick():
+    import time
+
+    have = {(f"a{i}", f"b{j}"): 1 + (i * 31 + j * 17) % 900 for i in range(45) for j in range(45)}
+    began = time.time()
+    take = quota.swap_repair(have, [{f"a{i}": (1 / 45, 3) for i in range(45)}, {f"b{j}": ((j + 1) / 1035, 2) for j in range(45)}], 200_000)
+    assert sum(take.values()) == 200_000 and time.time() - began < 10
 
 
 def test_truncation(spark):
@@ -121,3 +172,31 @@ def test_truncation(spark):
     rep = truncation.truncation_report(truncation.judged_texts(df)).first()
     assert rep["texts"] == len(texts) and rep["cut_texts"] == len(cut)
     assert truncation.judged_texts(df.limit(0)).count() == 0
+
+
+def test_slots_give_every_block_once(spark):
+    blocks = {"a": 700, "b": 1, "c": 299, "none": 0}
+    r = mixing.slots(spark.createDataFrame(list(blocks.items()), "source string, blocks long"), chunk=64).orderBy("slot").collect()
+    assert [x["slot"] for x in r] == list(range(1000))
+    for k, n in blocks.items():
+        own = [x["block"] for x in r if x["source"] == k]
+        assert own == list(range(n))
+    # even at every prefix: never more than a few slots from the share
+    seen = 0
+    for i, x in enumerate(r, 1):
+        seen += x["source"] == "a"
+        assert abs(seen - 0.7 * i) < 4
+
+
+def test_met_is_read_off_the_schedule(spark):
+    t = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 3), ("c", 0.2, 1)], "source string, target_weight double, max_repeats int")
+    s, plan = mixing.mixture(docs(spark), t, block_tokens=256)
+    rep = {r["source"]: r for r in mixing.mixture_report(s, plan).collect()}
+    longest = max(r["tokens"] for r in docs(spark).collect())
+    for r in plan.collect():
+        got = rep[r["source"]]["scheduled_tokens"]
+        assert rep[r["source"]]["met"] == (got >= r["target_tokens"]) == (r["available"] >= r["target_tokens"])
+        assert r["take"] <= got < r["take"] + longest
+    # a schedule that loses a source shows in the report
+    lost = {r["source"]: r["met"] for r in mixing.mixture_report(s.where("source <> 'a'"), plan).collect()}
+    assert rep["a"]["met"] and not lost["a"]

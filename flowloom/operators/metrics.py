@@ -50,8 +50,7 @@ def roc_points(df: DataFrame, positive: Column, score: str) -> DataFrame:
     """
     g = df.groupBy(F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("n"))
     g = g.withColumn("k", F.lit(0)).withColumn("neg", -F.col("score"))
-    r = balanced_running(g, ["k"], ["neg"], F.col("p"), out="tp")
-    r = balanced_running(r, ["k"], ["neg"], F.col("n"), out="fp")
+    r = balanced_running(g, ["k"], ["neg"], {"tp": F.col("p"), "fp": F.col("n")})
     return r.select("score", "p", "n", "tp", "fp")
 
 

@@ -23,11 +23,12 @@ def sampled_with_class(spark: SparkSession, d: str, *cols: str) -> DataFrame:
 def p3_bucket_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct edges per time bucket with their weight sum, in one range shuffle."""
     edges = table(spark, d, "phase3a_temporal")
-    return balanced.balanced_agg(edges, ["time_bucket"], EDGE, [F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight_sum")], distinct=True)
+    counts = balanced.balanced_agg(edges, ["time_bucket"], EDGE, {"n": ("count", None), "weight_sum": ("sum", "weight")}, distinct=True)
+    return counts.withColumn("weight_sum", F.round("weight_sum", 6))
 
 
 def p3_class_counts(spark: SparkSession, d: str) -> DataFrame:
-    return balanced.balanced_agg(sampled_with_class(spark, d, "node_id"), ["class"], ["node_id"], [F.count("*").alias("n")])
+    return balanced.balanced_agg(sampled_with_class(spark, d, "node_id"), ["class"], ["node_id"], {"n": ("count", None)})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,8 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_edge_rank(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct edge with its rank inside its bucket, ordered by (src, dst, weight, edge_type)."""
-    edges = balanced.range_split(table(spark, d, "phase3a_temporal"), ["time_bucket"], EDGE).dropDuplicates(["time_bucket", *EDGE])
-    return balanced.balanced_running(edges, ["time_bucket"], EDGE, out="rank_in_bucket")
+    return balanced.balanced_running(table(spark, d, "phase3a_temporal"), ["time_bucket"], EDGE, out="rank_in_bucket", distinct=True)
 
 
 def p6_instants(spark: SparkSession, d: str) -> DataFrame:

@@ -403,7 +403,7 @@ def q_class_filter(s, d):
 
 @query("SELECT attack_type, label_multiclass, label_binary, count(*) AS n FROM phase2_sampled_500k GROUP BY ALL")
 def q_class_distribution(s, d):
-    return balanced_agg(table(s, d, "phase2_sampled_500k").select("attack_type", "label_multiclass", "label_binary", "node_id"), ["attack_type", "label_multiclass", "label_binary"], ["node_id"], [F.count("*").alias("n")])
+    return balanced_agg(table(s, d, "phase2_sampled_500k").select("attack_type", "label_multiclass", "label_binary", "node_id"), ["attack_type", "label_multiclass", "label_binary"], ["node_id"], {"n": ("count", None)})
 
 
 @query("""WITH c AS (SELECT v.label_multiclass, count(n.node_id) AS n FROM label_vocab v LEFT JOIN phase2_sampled_500k n USING (label_multiclass) GROUP BY 1),

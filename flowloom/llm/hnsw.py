@@ -1,13 +1,17 @@
 """Most similar vectors for every vector: a hierarchical navigable small-world graph per shard.
 
-Distinct vectors are dealt by hash into shards of bounded size. A shard's graph is built in layers and kept as flat
-neighbour arrays (one int32 matrix a layer); it travels with its unit vectors as one binary row. Every block of
-queries is searched in every shard by a beam search that advances all queries of the block in lockstep, so the
-inner loop is a handful of numpy calls, and the shards' results are merged by the k best.
-
-Cost: (queries x shards) searches of logarithmic length. Shards hold up to shard_rows vectors; with more memory an
-executor takes larger shards and the number of searches falls. Exact copies are one vertex with a multiplicity, so
-a group of copies with a third of all rows neither floods the graph nor a result list.
+Routing: a coarse k-means over a bounded sample gives about one cell per shard_rows distinct vectors. A vector is indexed
+once, in its nearest cell; a cell that outgrows twice the size is dealt by hash into several shards. A query goes to its
+nearest cell and to those of the next ones whose centroid is at most `margin` (in cosine) further, `probes` in all. So both
+the index and the queries cross the network a bounded number of times, and work grows with the number of vectors times the
+logarithmic length of a search, not with vectors x shards. probes=None visits every shard; exact=True visits every shard
+and takes matrix products instead of graphs: the exact way, quadratic by nature.
+
+A shard's graph is built in layers and kept as flat neighbour arrays (one int32 matrix a layer); it travels with its unit
+vectors as one binary row. Every block of queries is searched by a beam search that advances all queries of the block in
+lockstep, so the inner loop is a handful of numpy calls. The shards' results are merged by the best, a few more than k, and
+the cosines of those are computed exactly. Exact copies are one vertex with a multiplicity, so a group of copies with a
+third of all rows neither floods the graph nor a result list.
 
 Defined results: null, NaN and infinite entries count as 0; a zero vector is similar (0.0) to nothing; equal cosines
 are ordered by the smaller id; null vectors and vectors of another length are left out.
@@ -192,6 +196,16 @@ def search(x: np.ndarray, layers: list[np.ndarray], q: np.ndarray, k: int, ef: i
     return (np.concatenate(out_i), np.concatenate(out_s)) if out_i else (np.zeros((0, k), np.int32), np.zeros((0, k), np.float32))
 
 
+def search_exactly(x: np.ndarray, q: np.ndarray, k: int, batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    out_i, out_s = [], []
+    for lo in range(0, len(q), batch):
+        s = q[lo : lo + batch] @ x.T
+        ids, sims = _top(np.broadcast_to(np.arange(len(x), dtype=np.int32), s.shape), s, min(k, len(x)))
+        out_i.append(ids)
+        out_s.append(sims)
+    return (np.concatenate(out_i), np.concatenate(out_s)) if out_i else (np.zeros((0, k), np.int32), np.zeros((0, k), np.float32))
+
+
 def cleaned(c, size: int):
     """array<float>: null, NaN and infinite entries as 0."""
     return F.transform(c, lambda v: F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))), F.lit(0.0)).otherwise(v).cast("float"))
@@ -200,29 +214,109 @@ def cleaned(c, size: int):
 GRAPH = "shard int, n long, dim int, keys1 binary, keys2 binary, vectors binary, layers array<binary>, sizes array<int>"
 
 
-def graphs(reps: DataFrame, shards: int, m: int, ef: int) -> DataFrame:
-    """One row a shard: keys, unit vectors and the layers' neighbour arrays as flat bytes."""
+def graphs(dealt: DataFrame, shards: int, m: int, ef: int, exact: bool = False) -> DataFrame:
+    """One row a shard: keys, unit vectors and the layers' neighbour arrays as flat bytes (no layers if exact)."""
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
+        # by hash, so that every prefix is a random sample
         pdf = pdf.sort_values(["h1", "h2"])
-        x = np.stack(pdf["x"].to_numpy()).astype(np.float32)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        layers = build(x, m, ef)
+        x = unit(pdf["x"])
+        layers = [] if exact else build(x, m, ef)
         row = (int(pdf["shard"].iloc[0]), len(x), x.shape[1], pdf["h1"].to_numpy(np.int64).tobytes(), pdf["h2"].to_numpy(np.int64).tobytes(), x.tobytes(), [g.tobytes() for g in layers], [len(g) for g in layers])
         return pd.DataFrame([row], columns=["shard", "n", "dim", "keys1", "keys2", "vectors", "layers", "sizes"])
 
-    # few heavy groups: more partitions than groups, and a given number, which AQE does not coalesce
-    dealt = reps.withColumn("shard", F.pmod("h2", F.lit(shards)).cast("int")).repartition(8 * shards, "shard")
-    return dealt.groupBy("shard").applyInPandas(make, GRAPH)
+    # one shard a task
+    return dealt.repartitionById(shards, F.col("shard")).groupBy("shard").applyInPandas(make, GRAPH)
+
+
+def unit(column: pd.Series) -> np.ndarray:
+    x = np.stack(column.to_numpy()).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
 
+def centroids(reps: DataFrame, n: int, cells: int, most: int = 200_000, rounds: int = 15, seed: int = 3) -> np.ndarray:
+    """Spherical k-means on the driver over a random sample: 64 vectors a cell, 20,000 at least and `most` at most."""
+    want = min(most, max(20_000, 64 * cells))
+    sample = reps.select("x") if n <= want else reps.select("x").sample(min(1.0, want / n), seed)
+    x = unit(sample.toPandas()["x"])
+    r = np.random.default_rng(seed)
+    c = x[r.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        at = nearest_cells(x, c, 1, 0.0)[:, 0]
+        total = np.zeros_like(c)
+        np.add.at(total, at, x)
+        empty = np.bincount(at, minlength=len(c)) == 0
+        total[empty] = x[r.choice(len(x), int(empty.sum()))]
+        c = total / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-12)
+    return c
 
-def nearest_classes(reps: DataFrame, k: int, shards: int, query_blocks: int, m: int = 16, ef_build: int = 56, ef: int = 72) -> DataFrame:
-    """(h1, h2, g1, g2, sim): for each distinct vector its k best others; sim is the float32 estimate.
 
-    reps: h1, h2, x, without zero vectors.
+def nearest_cells(x: np.ndarray, c: np.ndarray, probes: int, margin: float, batch: int = 4096) -> np.ndarray:
+    """Per row the nearest cells, nearest first; -1 for those beyond the margin."""
+    k = min(probes, len(c))
+    out = np.empty((len(x), k), dtype=np.int32)
+    for lo in range(0, len(x), batch):
+        s = x[lo : lo + batch] @ c.T
+        ids, sims = _top(np.broadcast_to(np.arange(len(c), dtype=np.int32), s.shape), s, k)
+        out[lo : lo + len(s)] = np.where(sims >= sims[:, :1] - margin, ids, -1)
+    return out
+
+
+def routed(reps: DataFrame, c: np.ndarray, probes: int, margin: float) -> DataFrame:
+    """(h1, h2, x, cell, visits): the cell of every vector and the cells its query goes to."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                near = nearest_cells(unit(pdf["x"]), c, probes, margin)
+                yield pdf.assign(cell=near[:, 0], visits=[v[v >= 0] for v in near])
+
+    return reps.select(*CLASS, "x").mapInPandas(run, "h1 long, h2 long, x array<float>, cell int, visits array<int>")
+
+
+def nearest_classes(
+    reps: DataFrame, n: int, k: int, shard_rows: int, min_shards: int, probes: int | None = 4, margin: float = 0.15, exact: bool = False, m: int = 16, ef_build: int = 56, ef: int = 72, block_queries: int = 16_384
+) -> DataFrame:
+    """(h1, h2, g1, g2, sim): for each distinct vector its k best others as found; sim is the float32 estimate.
+
+    reps: h1, h2, x, without zero vectors, n rows.
     """
-    index = graphs(reps, shards, m, ef_build).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    queries = reps.withColumn("block", F.pmod(F.xxhash64("h1"), F.lit(query_blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    c = centroids(reps, n, max(min_shards, math.ceil(n / shard_rows))) if n else np.zeros((1, 1), np.float32)
+    everywhere = exact or probes is None
+    way = routed(reps, c, len(c) if everywhere else probes, math.inf if everywhere else margin)
+    # one row a cell
+    sizes = {r["v"]: (r["own"], r["visits"]) for r in way.select("cell", F.explode("visits").alias("v")).groupBy("v").agg(F.count_if(F.col("v") == F.col("cell")).alias("own"), F.count("*").alias("visits")).collect()}
+    parts, offset = np.ones(len(c), dtype=int), np.zeros(len(c) + 1, dtype=int)
+    for v, (own, _) in sizes.items():
+        parts[v] = max(1, math.ceil(own / (2 * shard_rows)))
+    offset[1:] = np.cumsum(parts)
+    shards = int(offset[-1])
+    blocks = np.ones(shards, dtype=int)
+    for v, (_, visits) in sizes.items():
+        blocks[offset[v] : offset[v + 1]] = max(1, math.ceil(visits / block_queries))
+
+    def deal(batches):
+        for pdf in batches:
+            cell = pdf["cell"].to_numpy()
+            pdf["shard"] = (offset[cell] + pdf["h2"].to_numpy(np.int64) % parts[cell]).astype("int32")
+            yield pdf[["h1", "h2", "x", "shard"]]
+
+    def send(batches):
+        for pdf in batches:
+            h, rows, shard = pdf["h1"].to_numpy(np.int64), [], []
+            for i, vs in enumerate(pdf["visits"]):
+                for v in vs:
+                    own = range(offset[v], offset[v + 1])
+                    rows += [i] * len(own)
+                    shard += own
+            at, shard = np.array(rows, dtype=int), np.array(shard, dtype=int)
+            out = pdf[["h1", "h2", "x"]].iloc[at].reset_index(drop=True)
+            yield out.assign(shard=shard.astype("int32"), block=(h[at] % blocks[shard]).astype("int32"))
+
+    def copies(batches):
+        for pdf in batches:
+            pdf["block"] = [list(range(blocks[s])) for s in pdf["shard"]]
+            yield pdf
 
     def run(graph: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         cols = ["h1", "h2", "g1", "g2", "sim"]
@@ -232,26 +326,30 @@ def nearest_classes(reps: DataFrame, k: int, shards: int, query_blocks: int, m:
         x = np.frombuffer(r["vectors"], np.float32).reshape(int(r["n"]), int(r["dim"]))
         layers = [np.frombuffer(b, np.int32).reshape(s, -1) for b, s in zip(r["layers"], r["sizes"], strict=True)]
         k1, k2 = np.frombuffer(r["keys1"], np.int64), np.frombuffer(r["keys2"], np.int64)
-        y = np.stack(q["x"].to_numpy()).astype(np.float32)
-        y /= np.linalg.norm(y, axis=1, keepdims=True)
-        ids, sims = search(x, layers, y, k + 1, ef)
-        rows, c = np.nonzero(np.isfinite(sims) & (ids >= 0))
-        hit = ids[rows, c]
+        y = unit(q["x"])
+        ids, sims = search_exactly(x, y, k + 1) if exact else search(x, layers, y, k + 1, ef)
+        rows, col = np.nonzero(np.isfinite(sims) & (ids >= 0))
+        hit = ids[rows, col]
         h1, h2 = q["h1"].to_numpy(np.int64)[rows], q["h2"].to_numpy(np.int64)[rows]
         other = (k1[hit] != h1) | (k2[hit] != h2)
-        return pd.DataFrame({"h1": h1[other], "h2": h2[other], "g1": k1[hit][other], "g2": k2[hit][other], "sim": sims[rows, c][other]})
+        return pd.DataFrame({"h1": h1[other], "h2": h2[other], "g1": k1[hit][other], "g2": k2[hit][other], "sim": sims[rows, col][other]})
 
-    parts = 8 * shards * query_blocks
-    index, queries = index.repartition(parts, "shard", "block"), queries.repartition(parts, "shard", "block")
-    found = index.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(run, "h1 long, h2 long, g1 long, g2 long, sim float")
-    best = found.groupBy(*CLASS).agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "g1", "g2")), asc=False), 1, k).alias("b"))
-    return best.select(*CLASS, F.explode("b").alias("e")).select(*CLASS, "e.g1", "e.g2", "e.sim")
+    index = graphs(way.mapInPandas(deal, "h1 long, h2 long, x array<float>, shard int"), shards, m, ef_build, exact)
+    index = index.mapInPandas(copies, GRAPH + ", block array<int>").withColumn("block", F.explode("block"))
+    queries = way.mapInPandas(send, "h1 long, h2 long, x array<float>, shard int, block int")
+    # few heavy groups: more partitions than groups, and a given number, which AQE does not coalesce
+    groups = int(blocks.sum())
+    keys = (8 if groups < 500 else 2) * groups, "shard", "block"
+    found = index.repartition(*keys).groupBy("shard", "block").cogroup(queries.repartition(*keys).groupBy("shard", "block")).applyInPandas(run, "h1 long, h2 long, g1 long, g2 long, sim float")
+    best = Window.partitionBy(*CLASS).orderBy(F.desc("sim"), "g1", "g2")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, min_cosine: float | None = None, size: int = 78, shard_rows: int = 50_000, min_shards: int = 4, **kw) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, min_cosine: float | None = None, size: int = 78, shard_rows: int = 25_000, min_shards: int = 4, spare: int = 3, **kw) -> DataFrame:
     """(key, neighbour, cosine): the k most similar others of every record, exact cosines, ties by the smaller id.
 
-    With min_cosine, neighbours below it are left out.
+    With min_cosine, neighbours below it are left out. `spare` more candidates than k are compared exactly, as the search
+    orders by float32. Further options as in nearest_classes.
     """
     rows = df.where(F.size(vector) == size).select(F.col(key).alias("id"), cleaned(F.col(vector), size).alias("x"))
     rows = rows.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit(7), F.col("x")))
@@ -259,8 +357,10 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, min_cosine:
     reps = rows.groupBy(*CLASS).agg(F.first("x").alias("x"), F.count("*").alias("n"))
     reps = checkpointed(reps.withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))).where("norm > 0"))
     n = reps.count()
-    shards = max(min_shards, math.ceil(n / shard_rows))
-    near = nearest_classes(reps.select(*CLASS, "x"), k, shards, max(3, math.ceil(n / shard_rows)), **kw)
+    near = nearest_classes(reps.select(*CLASS, "x"), n, k + spare, shard_rows, min_shards, **kw)
+    if min_cosine is not None:
+        # float32 estimates are off by less than a thousandth
+        near = near.where(F.col("sim") >= min_cosine - 1e-3)
     vec = reps.select(*CLASS, "x", "norm")
     other = vec.toDF("g1", "g2", "y", "norm_y")
     exact = near.join(vec, CLASS).join(other, ["g1", "g2"])

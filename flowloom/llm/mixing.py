@@ -46,7 +46,8 @@ def slots(plan: DataFrame, chunk: int = 4096) -> DataFrame:
     ranked = balanced_running(points, ["__all"], ["u", "slot"], out="r").select("slot", (F.col("r") - 1).alias("r"))
     ranked = ranked.withColumn("chunk", F.floor(F.col("r") / chunk))
     spans = spans.select("source", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / chunk), F.floor((F.col("hi") - 1) / chunk))).alias("chunk"))
-    mapped = ranked.join(spans, "chunk").where("r >= lo and r < hi").select("slot", "source")
+    # read several times by the ranks, so the first ranks are computed once; one short row a block
+    mapped = checkpointed(ranked.join(spans, "chunk").where("r >= lo and r < hi").select("slot", "source"))
     return balanced_running(mapped, ["source"], ["slot"], out="rank").select("slot", "source", (F.col("rank") - 1).alias("block"))
 
 

@@ -22,7 +22,7 @@ from flowloom.session import checkpointed
 END = "¶"
 
 TOKENS = r"""
-SELECT id, source, n_chars, text,
+SELECT id, source, n_chars, n_bytes, text,
   filter(split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
     lower(text),
     '&(?:#[0-9]+|[a-z]+);', ' '),
@@ -35,13 +35,20 @@ FROM {docs}
 """
 
 FINAL = r"""
-SELECT id, source, n_chars, text, dotted,
+SELECT id, source, n_chars, n_bytes, dotted,
+  CASE
+    WHEN text RLIKE '�\\s*$' THEN 'character'
+    WHEN text RLIKE '&(?:#[0-9]{{0,5}}|[a-z]{{0,6}})$' AND NOT text RLIKE '\\s&$' THEN 'entity'
+    WHEN text RLIKE '<(?:/?[A-Za-z]{{1,12}}|a\\s[^<>\\n]{{0,80}})$' OR text RLIKE '\\[/?[a-z]{{0,9}}$' THEN 'tag'
+  END AS shown,
+  text RLIKE '[,(]\\s*$' AS open_clause,
+  text RLIKE '[.?!…][)"*_\\]]*\\s*$' AS ended,
   if(dotted AND size(w) > 0, concat(element_at(w, -1), '.'), if(size(w) = 0, '', element_at(w, -1))) AS p,
   if(size(w) = 0, '', element_at(w, -1)) AS w,
   CASE WHEN size(w) < 2 THEN '¶' ELSE element_at(w, -2) END AS c1,
   CASE WHEN size(w) < 3 OR element_at(w, -2) = '¶' THEN '¶' ELSE element_at(w, -3) END AS c2
 FROM (
-  SELECT id, source, n_chars, text, dotted, if((marked OR dotted) AND size(w) > 0 AND element_at(w, -1) = '¶', slice(w, 1, size(w) - 1), w) AS w
+  SELECT id, source, n_chars, n_bytes, text, dotted, if((marked OR dotted) AND size(w) > 0 AND element_at(w, -1) = '¶', slice(w, 1, size(w) - 1), w) AS w
   FROM (SELECT *, text RLIKE '[\\p{{L}}0-9]\\.$' AS dotted, text RLIKE '(?:…|\\.\\.\\.|\\[\\.\\.\\.\\]|\\[…\\])\\s*$' AS marked FROM {tokens})
 )
 """
@@ -60,12 +67,20 @@ FROM (
 GROUP BY c2, c1, w
 """
 
+# Of the words in a context only those beginnings are made that a final token in this context asks for, by its length:
+# a word of n letters is not spelt out n times, and contexts in which no text ends are left out before the explode.
 PREFIXES = r"""
 SELECT c2, c1, p, sum(n) AS n_longer
-FROM (SELECT c2, c1, n_in + n_end AS n, explode(transform(sequence(1, length(w) - 1), k -> substring(w, 1, k))) AS p FROM {trigrams} WHERE length(w) > 1 AND n_in + n_end > 0)
+FROM (
+  SELECT t.c2, t.c1, t.n_in + t.n_end AS n, explode(transform(filter(lens, k -> k < length(t.w)), k -> substring(t.w, 1, k))) AS p
+  FROM {trigrams} t JOIN {asked} a ON t.c2 = a.c2 AND t.c1 = a.c1
+  WHERE length(t.w) > 1 AND t.n_in + t.n_end > 0
+)
 GROUP BY c2, c1, p
 """
 
+ASKED = "SELECT {c2} AS c2, {c1} AS c1, collect_set(length(p)) AS lens FROM {{final}} WHERE p <> '' GROUP BY 1, 2"
+
 LIMITS = r"""
 SELECT source, unit, len FROM (
   SELECT source, unit, len, n,
@@ -78,12 +93,10 @@ SELECT source, unit, len FROM (
 JUDGED = r"""
 SELECT id, source, n_chars, at_limit,
   CASE
-    WHEN text RLIKE '�\\s*$' THEN 'character'
-    WHEN text RLIKE '&(?:#[0-9]{{0,5}}|[a-z]{{0,6}})$' AND NOT text RLIKE '\\s&$' THEN 'entity'
-    WHEN text RLIKE '<(?:/?[A-Za-z]{{1,12}}|a\\s[^<>\\n]{{0,80}})$' OR text RLIKE '\\[/?[a-z]{{0,9}}$' THEN 'tag'
+    WHEN shown IS NOT NULL THEN shown
     WHEN dotted THEN CASE WHEN t_longer >= {support} AND (t_in + t_end + t_last) * 10 < t_longer THEN 'word' END
     WHEN w = '¶' OR w = '' THEN NULL
-    WHEN text RLIKE '[,(]\\s*$' THEN 'sentence'
+    WHEN open_clause THEN 'sentence'
     WHEN t_in + t_end + t_last >= {support} AND (t_end + t_last) >= {rare} * (t_in + t_end + t_last) AND t_longer < 5 * (t_in + t_end + t_last) THEN if(open_limit, 'limit', NULL)
     WHEN t_in >= {support} AND (t_end + t_last) < {rare} * t_in THEN 'sentence'
     WHEN t_longer >= {support} AND (t_in + t_end + t_last) * 10 < t_longer THEN 'word'
@@ -96,7 +109,7 @@ SELECT id, source, n_chars, at_limit,
   END AS cut
 FROM (
   SELECT f.*, l.len IS NOT NULL OR lb.len IS NOT NULL AS at_limit,
-    (l.len IS NOT NULL OR lb.len IS NOT NULL) AND NOT text RLIKE '[.?!…][)"*_\\]]*\\s*$' AS open_limit
+    (l.len IS NOT NULL OR lb.len IS NOT NULL) AND NOT ended AS open_limit
 FROM (
   SELECT f.*,
     coalesce(t.n_in, 0) AS t_in, coalesce(t.n_end, 0) AS t_end, greatest(coalesce(t.n_last, 0) - 1, 0) AS t_last,
@@ -112,7 +125,7 @@ FROM (
   LEFT JOIN {uni_prefixes} up ON f.p = up.p
 ) f
   LEFT JOIN {limits} l ON l.unit = 'chars' AND f.source <=> l.source AND f.n_chars = l.len
-  LEFT JOIN {limits} lb ON lb.unit = 'bytes' AND f.source <=> lb.source AND octet_length(text) = lb.len
+  LEFT JOIN {limits} lb ON lb.unit = 'bytes' AND f.source <=> lb.source AND f.n_bytes = lb.len
 )
 """
 
@@ -126,16 +139,20 @@ def judged_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     docs = docs.selectExpr(f"`{key}` AS id", f"`{source}` AS source", f"coalesce(`{text}`, '') AS text", f"length(coalesce(`{text}`, '')) AS n_chars", f"octet_length(coalesce(`{text}`, '')) AS n_bytes")
     sql = lambda q, **f: spark.sql(q, **f)
     tokens = sql(TOKENS, docs=docs)
-    final = sql(FINAL, tokens=tokens)
-    # blind to the texts themselves from here on: counts over all documents
+    # one short row a text, read four times; blind to the texts themselves from here on
+    final = checkpointed(sql(FINAL, tokens=tokens))
     # distinct trigrams are read six times, so they are written once
     trigrams = checkpointed(sql(TRIGRAMS, tokens=tokens))
     bigrams = sql("SELECT '¶' AS c2, c1, w, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {t} GROUP BY c1, w", t=trigrams)
     unigrams = sql("SELECT '¶' AS c2, '¶' AS c1, w, sum(n_in) AS n_in, sum(n_end) AS n_end, sum(n_last) AS n_last FROM {b} GROUP BY w", b=bigrams)
+
+    def prefixes(level: DataFrame, c2: str, c1: str) -> DataFrame:
+        return sql(PREFIXES, trigrams=level, asked=sql(ASKED.format(c2=c2, c1=c1), final=final))
+
     return sql(
         JUDGED.replace("{support}", str(support)).replace("{rare}", str(rare)),
         final=final, trigrams=trigrams, bigrams=bigrams, unigrams=unigrams, limits=sql(LIMITS, docs=docs),
-        prefixes=sql(PREFIXES, trigrams=trigrams), bi_prefixes=sql(PREFIXES, trigrams=bigrams), uni_prefixes=sql(PREFIXES, trigrams=unigrams),
+        prefixes=prefixes(trigrams, "c2", "c1"), bi_prefixes=prefixes(bigrams, "'¶'", "c1"), uni_prefixes=prefixes(unigrams, "'¶'", "'¶'"),
     )
 
 

@@ -200,3 +200,15 @@ def test_met_is_read_off_the_schedule(spark):
     # a schedule that loses a source shows in the report
     lost = {r["source"]: r["met"] for r in mixing.mixture_report(s.where("source <> 'a'"), plan).collect()}
     assert rep["a"]["met"] and not lost["a"]
+
+
+def test_long_words_inside_texts(spark):
+    """A word of 200,000 letters in the middle of texts, in a context in which others end: no list of its beginnings is made."""
+    import time
+
+    long = "q" * 200_000
+    texts = [f"The router sends {long} packets to the firewall. It stopped." for _ in range(6)] + ["The router sends packets. Then it"] * 2 + ["The router sends qq"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    began = time.time()
+    got = {r["id"]: r["cut"] for r in truncation.judged_texts(df).collect()}
+    assert time.time() - began < 60 and got[8] == "word" and not any(got[i] for i in range(6))

@@ -60,12 +60,13 @@ def measured(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return m.select("doc_id", "tokens", loss.cast("int").alias("loss_tokens"))
 
 
-def packed(items: DataFrame, n_items: int, capacity: int = 1024, max_segments: int = 64, max_loss: int | None = None, block_items: int = 4096) -> DataFrame:
+def packed(items: DataFrame, n_items: int, capacity: int = 1024, max_segments: int = 32, max_loss: int | None = None, block_items: int = 4096) -> DataFrame:
     """One row per piece: container, doc_id, piece, pieces, first_token, tokens, loss_tokens.
 
-    n_items sizes the blocks. max_loss defaults to the capacity: a smaller limit can force items apart that fit.
+    n_items sizes the blocks; a block wastes at most the room of its last few containers. max_loss defaults to three
+    quarters of the capacity: it keeps containers from being all reply or all prompt.
     """
-    limit = np.array([capacity, max_segments, max_loss or capacity], dtype=float)
+    limit = np.array([capacity, max_segments, max_loss or capacity * 3 // 4], dtype=float)
     blocks = max(1, math.ceil(n_items / block_items))
     block: Column = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
 

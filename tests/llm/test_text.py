@@ -212,3 +212,10 @@ def test_long_words_inside_texts(spark):
     began = time.time()
     got = {r["id"]: r["cut"] for r in truncation.judged_texts(df).collect()}
     assert time.time() - began < 60 and got[8] == "word" and not any(got[i] for i in range(6))
+
+
+def test_all_three_limits_bind(spark):
+    items = spark.range(3000).selectExpr("id as doc_id", "cast(if(id % 3 = 0, 12, 150 + id % 200) as int) as tokens", "cast(if(id % 4 = 0, 0, if(id % 3 = 0, 12, 150 + id % 200)) as int) as loss_tokens")
+    got = packing.packed(items, 3000, block_items=1000).groupBy("container").agg({"tokens": "sum", "loss_tokens": "sum", "*": "count"}).toDF("c", "tokens", "loss", "n").collect()
+    assert max(r["tokens"] for r in got) <= 1024 and max(r["loss"] for r in got) <= 768 and max(r["n"] for r in got) <= 32
+    assert sum(r["loss"] > 740 for r in got) > len(got) / 4 and any(r["n"] == 32 for r in got)

@@ -1,15 +1,17 @@
 """Mixed timestamp spellings to one UTC instant.
 
-Every text is matched against a table of shapes; a shape gives one or more *readings* (for numeric dates
-with slashes: month first and day first). Per source, expectation-maximisation estimates how the source
-mixes its readings: each distinct evidence pattern (which readings of a text name an existing date)
-contributes its likelihood under every valid reading, and the posterior picks the reading of each text.
-A catalogue entry for the source (date order) is a prior that fixes the mixture. Only per-source pattern
-counts (at most 3 rows a source) reach the EM step, so it is independent of the number of rows.
-
-Defined results: null, empty or unknown text gives a null instant with status 'none'; local time without a
-known zone gives 'no_zone'; two readings with no evidence either way give 'ambiguous' (and a null instant).
-Doubled local times are the earlier instant; skipped ones are read with the offset valid before the jump.
+Every text is matched against a table of shapes; a shape gives one or more *readings* (numeric dates with slashes: month
+first and day first; integers: seconds, milliseconds and microseconds since 1970), valid if they name an existing date or
+a plausible time. Per source, expectation-maximisation estimates how the source mixes its readings: each distinct evidence
+pattern (the set of readings valid for a text) contributes its likelihood under every valid reading, next to a small
+chance that the text is none of them. The posterior of each reading picks the interpretation of a text, marks it
+ambiguous, or gives it up. A catalogue entry for the source (its date order) is a finite prior: `catalogue_weight` texts
+seen in that order. Only pattern counts reach the EM step, one row a source, so it is independent of the number of rows.
+
+Defined results: null, empty or unknown text gives a null instant with status 'none', and so does a text that is valid
+only under a reading its source all but never uses; local time without a known zone gives 'no_zone'; several readings
+with no evidence either way give 'ambiguous' (and a null instant). Doubled local times are the earlier instant; skipped
+ones are read with the offset valid before the jump.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ ISO = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[Tt]|\s+)" + CLOCK + ZONE + "$"
 SLASH = r"^(\d{1,2})/(\d{1,2})/(\d{4}),?\s+" + CLOCK + ZONE + "$"
 NAMED = r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})[\s-]+([A-Za-z]{3})[A-Za-z]*[\s-]+(\d{4}),?\s+" + CLOCK + ZONE + "$"
 COMPACT = r"^(\d{4})(\d{2})(\d{2})[Tt](\d{2})(\d{2})(\d{2})()()" + ZONE + "$"
-EPOCH = r"^(\d{9,10}|\d{12,13}|\d{15,16})$"
+EPOCH = r"^[+-]?\d{1,18}$"
+UNITS = {"s": 1_000_000, "ms": 1_000, "us": 1}
+EVIDENCE = r"^\s*(?:\d{1,2}/\d{1,2}/\d{4}|[+-]?\d{1,18}\s*$)"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
@@ -46,8 +50,9 @@ def _part(text: Column, shape: Column, i: int) -> Column:
     return out
 
 
-def parsed(df: DataFrame, text: str, zones: set[str]) -> DataFrame:
-    """Adds struct __p: shape, epoch micros, local micros of both date orders (null if no such date), zone or offset."""
+def parsed(df: DataFrame, text: str, zones: set[str], plausible: tuple[str, str]) -> DataFrame:
+    """Adds struct __p: shape, zone or offset, and the micros of every reading: local time of both date orders (null if
+    there is no such date), UTC of the three epoch units (null if not in the plausible span)."""
     t = F.trim(F.regexp_replace(F.col(f"`{text}`"), r"\s+", " "))
     df = df.withColumn("__t", t)
     t = F.col("__t")
@@ -81,9 +86,10 @@ def parsed(df: DataFrame, text: str, zones: set[str]) -> DataFrame:
         .when(s == "slash", micros(g(3), g(1), g(2)))
     )
     second = F.when(s == "slash", micros(g(3), g(2), g(1)))
-    n = F.length(t)
-    v = t.cast("string")
-    epoch = F.when(s == "epoch", v.try_cast("long") * F.when(n <= 10, F.lit(1_000_000)).when(n <= 13, F.lit(1_000)).otherwise(F.lit(1)))
+    count = F.when(s == "epoch", t.try_cast("long"))
+    low, high = (F.unix_micros(F.lit(x).cast("timestamp")) for x in plausible)
+    # compared in units, so that nothing overflows
+    epoch = {u: F.when((count >= F.ceil(low / k)) & (count < F.floor(high / k)), count * F.lit(k)) for u, k in UNITS.items()}
     z = F.when(s.isin("iso", "slash", "named"), g(9)).when(s == "compact", g(9)).otherwise(F.lit(""))
     abbr = F.create_map(*[x for k, w in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(w))])
     zone = (
@@ -94,18 +100,38 @@ def parsed(df: DataFrame, text: str, zones: set[str]) -> DataFrame:
         .when(z.contains("/"), F.when(z.isin(*sorted(zones)), z).otherwise(F.lit("?")))
         .otherwise(F.coalesce(abbr[F.upper(z)], F.lit("?")))
     )
-    return df.withColumn("__p", F.struct(s.alias("shape"), epoch.alias("epoch"), first.alias("mdy"), second.alias("dmy"), zone.alias("zone"))).drop("__t", "__shape", "__g")
+    return df.withColumn("__p", F.struct(s.alias("shape"), first.alias("mdy"), second.alias("dmy"), *[e.alias(u) for u, e in epoch.items()], zone.alias("zone"))).drop("__t", "__shape", "__g")
+
+
+def _mask(group: list[str]) -> Column:
+    """Which readings of the group are valid, as bits; two that give the same micros are one."""
+    out = F.lit(0)
+    for i, r in enumerate(group):
+        same = [F.col(f"__p.{r}").eqNullSafe(F.col(f"__p.{q}")) for q in group[:i]]
+        valid = F.col(f"__p.{r}").isNotNull()
+        for x in same:
+            valid = valid & ~x
+        out = out + F.when(valid, 1 << i).otherwise(0)
+    return out
+
+
+GROUPS = {"order": ["mdy", "dmy"], "unit": list(UNITS)}
 
 
-def em_mixture(patterns: DataFrame, iterations: int = 30, smoothing: float = 1.0) -> DataFrame:
-    """EM over (source, both, mdy_only, dmy_only counts, __known): adds __theta, the source's share of month-first texts.
+def em_shares(counts: str, prior: str, size: int, noise: float, iterations: int = 30) -> Column:
+    """EM for one group of readings as column arithmetic: the source's share of each reading.
 
-    both counts texts valid under either reading; a known share fixes the mixture. Pure column arithmetic on
-    one row a source, so it stays lazy: theta' = (mdy_only + both * theta + a) / (n + 2 a).
+    counts: an array with the number of texts per mask of valid readings (0 to 2^size - 1); prior: an array of prior
+    counts. A text is one of its valid readings, by their shares, or with weight `noise` none of them.
     """
-    n = F.col("both") + F.col("mdy_only") + F.col("dmy_only")
-    free = f"aggregate(sequence(1, {iterations}), double(0.5), (t, i) -> (mdy_only + both * t + {smoothing}) / (both + mdy_only + dmy_only + 2 * {smoothing}))"
-    return patterns.withColumn("__theta", F.coalesce(F.col("__known"), F.expr(free))).withColumn("n", n)
+    masks = ", ".join(f"array({', '.join(str(float(m >> k & 1)) for k in range(size))})" for m in range(1 << size))
+    dot = f"(noise + aggregate(sequence(0, {size - 1}), 0D, (s, j) -> s + m[p][j] * t[j]))"
+    mass = f"aggregate(sequence(1, {(1 << size) - 1}), 0D, (a, p) -> a + {counts}[p] * m[p][k] * t[k] / {dot})".replace("noise", f"{noise!r}D")
+    total = "aggregate(w, 0D, (s, x) -> s + x)"
+    step = f"transform(transform(sequence(0, {size - 1}), k -> {prior}[k] + {mass}), x -> x)"
+    normal = f"transform(array({step}), w -> transform(w, x -> x / {total}))[0]"
+    start = f"transform(array({prior}), w -> transform(w, x -> x / {total}))[0]"
+    return F.expr(f"transform(array(array({masks})), m -> aggregate(sequence(1, {iterations}), {start}, (t, i) -> {normal}))[0]")
 
 
 def normalise_timestamps(
@@ -115,58 +141,67 @@ def normalise_timestamps(
     catalogue: DataFrame,
     out: str = "instant",
     decided: float = 0.95,
+    catalogue_weight: float = 10_000.0,
+    noise: float = 0.01,
+    plausible: tuple[str, str] = ("1980-01-01", "2100-01-01"),
     max_broadcast_sources: int = 100_000,
 ) -> DataFrame:
-    """Adds out (timestamp, UTC), `out`_us (bigint micros), `out`_status and `out`_reading.
+    """Adds out (timestamp, UTC), `out`_us (bigint micros), `out`_status, `out`_reading and `out`_posterior.
 
-    catalogue: source, tz_name, date_order ('mdy', 'dmy' or null), one row a source. A reading is taken if its
-    posterior is at least `decided`; if not, the value is marked 'ambiguous' and left null. The mixtures (one row a
-    source) are broadcast only if they are counted to be at most `max_broadcast_sources`.
+    catalogue: source, tz_name, date_order ('mdy', 'dmy' or null), one row a source. A reading is taken if its posterior
+    is at least `decided`; it is given up if no reading reaches 1 - decided (a slash date is none of its readings with weight
+    `noise`); else the value is marked 'ambiguous' and left
+    null. The shares (one row a source) are broadcast only if they are counted to be at most `max_broadcast_sources`.
     """
     spark: SparkSession = df.sparkSession
     zones = {str(z) for z in spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray()}
-    p = parsed(df, text, zones)
-    slash = F.col("__p.shape") == "slash"
-    both = slash & F.col("__p.mdy").isNotNull() & F.col("__p.dmy").isNotNull() & (F.col("__p.mdy") != F.col("__p.dmy"))
-    cat = catalogue.select(
-        F.col(catalogue.columns[0]).alias("__s"),
-        F.col("tz_name").alias("__tz"),
-        F.when(F.col("date_order") == "mdy", 1.0).when(F.col("date_order") == "dmy", 0.0).alias("__prior"),
-    )
-    numeric = parsed(df.where(F.col(f"`{text}`").rlike(r"^\s*\d{1,2}/\d{1,2}/\d{4}")).select(text, source), text, zones)
-    evidence = numeric.groupBy(F.col(f"`{source}`").alias("__e")).agg(
-        F.count_if(both).alias("both"),
-        F.count_if(slash & F.col("__p.mdy").isNotNull() & F.col("__p.dmy").isNull()).alias("mdy_only"),
-        F.count_if(slash & F.col("__p.dmy").isNotNull() & F.col("__p.mdy").isNull()).alias("dmy_only"),
-    )
-    zero = F.lit(0).cast("long")
+    cat = catalogue.select(F.col(catalogue.columns[0]).alias("__s"), F.col("tz_name").alias("__tz"), F.col("date_order").alias("__order"))
+    numeric = parsed(df.where(F.col(f"`{text}`").rlike(EVIDENCE)).select(text, source), text, zones, plausible)
+    numeric = numeric.select(F.col(f"`{source}`").alias("__e"), *[_mask(g).alias(n) for n, g in GROUPS.items()])
+    # a number that falls into the plausible span by chance is not reckoned with
+    junk = {"order": noise, "unit": 0.0}
+    per_mask = {n: F.array(*[F.count_if(F.col(n) == m).cast("double") for m in range(1 << len(g))]).alias(f"n_{n}") for n, g in GROUPS.items()}
+    evidence = numeric.groupBy("__e").agg(*per_mask.values())
     joined = evidence.join(cat, F.col("__e").eqNullSafe(F.col("__s")), "full").select(
-        F.coalesce("__s", "__e").alias("__s2"), "__tz", F.col("__prior").alias("__known"),
-        *[F.coalesce(c, zero).alias(c) for c in ("both", "mdy_only", "dmy_only")],
+        F.coalesce("__s", "__e").alias("__s2"), "__tz",
+        *[F.coalesce(F.col(f"n_{n}"), F.array_repeat(F.lit(0.0), 1 << len(g))).alias(f"n_{n}") for n, g in GROUPS.items()],
+        F.array(*[F.when(F.col("__order") == r, catalogue_weight).otherwise(0.0) + 1.0 for r in GROUPS["order"]]).alias("a_order"),
+        F.array_repeat(F.lit(1.0), len(UNITS)).alias("a_unit"),
     )
-    mix = checkpointed(em_mixture(joined).select("__s2", "__theta", "__known", "__tz"))
+    shares = joined.select("__s2", "__tz", *[em_shares(f"n_{n}", f"a_{n}", len(g), junk[n]).alias(f"__{n}") for n, g in GROUPS.items()])
+    mix = checkpointed(shares)
     if mix.count() <= max_broadcast_sources:
         mix = F.broadcast(mix)
-    j = p.join(mix, F.col(f"`{source}`").eqNullSafe(F.col("__s2")), "left")
-    mdy, dmy, theta, prior = F.col("__p.mdy"), F.col("__p.dmy"), F.col("__theta"), F.col("__known")
-    reading = (
-        F.when(F.col("__p.shape").isNull(), F.lit(None))
-        .when(~slash, F.col("__p.shape"))
-        .when(prior == 1.0, F.lit("mdy"))
-        .when(prior == 0.0, F.lit("dmy"))
-        .when(mdy.isNull() & dmy.isNull(), F.lit(None))
-        .when(dmy.isNull() | (mdy == dmy) | (theta >= decided), F.lit("mdy"))
-        .when(mdy.isNull() | (theta <= 1 - decided), F.lit("dmy"))
-        .otherwise(F.lit("open"))
-    )
-    j = j.withColumn("__r", reading)
-    local = F.when(F.col("__r") == "dmy", dmy).when(F.col("__r") == "open", F.lit(None)).otherwise(mdy)
-    j = j.withColumn("__local", local).withColumn("__zone", F.coalesce(F.col("__p.zone"), F.col("__tz")))
+    j = parsed(df, text, zones, plausible).join(mix, F.col(f"`{source}`").eqNullSafe(F.col("__s2")), "left")
+
+    def posteriors(n: str, group: list[str]) -> Column:
+        """(posterior, reading) of every valid reading of the group, best first; a reading given twice counts once."""
+        share = F.coalesce(F.col(f"__{n}"), F.array_repeat(F.lit(1.0 / len(group)), len(group)))
+        mask = _mask(group)
+        weights = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, share[i]) for i in range(len(group))])
+        # readings that agree with an earlier one add their share to it
+        if n == "order":
+            agree = F.col("__p.mdy") == F.col("__p.dmy")
+            weights = F.when(agree, F.array(share[0] + share[1], F.lit(None).cast("double"))).otherwise(weights)
+        total = F.aggregate(weights, F.lit(junk[n]), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
+        best = F.array_max(F.transform(weights, lambda w, i: F.when(w.isNotNull(), F.struct((w / total).alias("p"), F.get(F.array(*[F.lit(r) for r in group]), i).alias("r")))))
+        return F.when(mask > 0, best)
+
+    only = F.struct(F.lit(1.0 / (1.0 + noise)).alias("p"), F.col("__p.shape").alias("r"))
+    shape = F.col("__p.shape")
+    best = F.when(shape == "slash", posteriors("order", GROUPS["order"])).when(shape == "epoch", posteriors("unit", GROUPS["unit"])).when(F.col("__p.mdy").isNotNull(), only)
+    j = j.withColumn("__b", best)
+    taken = F.col("__b.p") >= decided
+    j = j.withColumn("__r", F.when(taken, F.col("__b.r")))
+    r = F.col("__r")
+    local = F.when(r == "dmy", F.col("__p.dmy")).when(r.isNotNull() & ~r.isin(*UNITS), F.col("__p.mdy"))
+    epoch = F.coalesce(*[F.when(r == u, F.col(f"__p.{u}")) for u in UNITS])
+    j = j.withColumn("__local", local).withColumn("__epoch", epoch).withColumn("__zone", F.coalesce(F.col("__p.zone"), F.col("__tz")))
     usable = F.col("__local").isNotNull() & F.col("__zone").isNotNull() & (F.col("__zone") != "?")
-    instant = F.coalesce(F.timestamp_micros("__p.epoch"), F.when(usable, F.to_utc_timestamp(F.timestamp_micros("__local"), F.when(usable, F.col("__zone")).otherwise(F.lit("UTC")))))
+    instant = F.coalesce(F.timestamp_micros("__epoch"), F.when(usable, F.to_utc_timestamp(F.timestamp_micros("__local"), F.when(usable, F.col("__zone")).otherwise(F.lit("UTC")))))
     status = (
-        F.when(F.col("__p.epoch").isNotNull() | usable, F.lit("ok"))
-        .when(F.col("__r") == "open", F.lit("ambiguous"))
+        F.when(F.col("__epoch").isNotNull() | usable, F.lit("ok"))
+        .when(F.col("__b.p").isNotNull() & ~taken & (F.col("__b.p") > 1 - decided), F.lit("ambiguous"))
         .when(F.col("__local").isNotNull(), F.lit("no_zone"))
         .otherwise(F.lit("none"))
     )
@@ -174,6 +209,7 @@ def normalise_timestamps(
         j.withColumn(out, instant)
         .withColumn(f"{out}_us", F.unix_micros(out))
         .withColumn(f"{out}_status", status)
-        .withColumn(f"{out}_reading", F.col("__r"))
-        .drop("__p", "__r", "__local", "__zone", "__s2", "__theta", "__known", "__tz")
+        .withColumn(f"{out}_reading", r)
+        .withColumn(f"{out}_posterior", F.col("__b.p"))
+        .drop("__p", "__b", "__r", "__local", "__epoch", "__zone", "__s2", "__tz", *[f"__{n}" for n in GROUPS])
     )

@@ -57,6 +57,25 @@ def test_em_decides_by_the_source(spark):
     assert norm(spark, [("4/3/2025 10:00", "free")]) == [(None, "ambiguous")]
 
 
+def test_catalogue_is_a_prior(spark):
+    # a day-first text of a month-first source is given up, not turned round; what nine tenths of a source say outweighs its entry
+    assert norm(spark, [("25/03/2025 10:00", "ny")] * 3 + [("3/5/2025 10:00", "ny")]) == [(None, "none")] * 3 + [(us(2025, 3, 5, 15), "ok")]
+    df = spark.range(60_000).selectExpr("id", "if(id % 10 = 0, '3/5/2025 10:00', concat(13 + id % 15, '/5/2025 10:00')) as ts", "'ny' as src")
+    cat = spark.createDataFrame(CAT, "sensor string, tz_name string, date_order string")
+    out = normalise_timestamps(df, "ts", "src", cat).groupBy("instant_status", "instant_reading").count().collect()
+    assert {(r[0], r[1]) for r in out if r[1]} == {("ok", "dmy")} and all(r[0] == "ambiguous" for r in out if r[1] is None)
+
+
+def test_units_of_numbers(spark):
+    got = norm(spark, [("-5", "ny"), ("0", "ny"), ("123456789012345678", "ny"), ("99999999999999999999", "ny"), ("1741154828", "other"), ("+1741154828", None), ("400000000", "ny")])
+    assert got == [(None, "none")] * 4 + [(us(2025, 3, 5, 6, 7, 8), "ok")] * 2 + [(400_000_000_000_000, "ok")]
+    # with a wider span of plausible times a number has several readings; the source's other numbers decide
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(["1741154828123456"] * 200 + ["86400000"])] + [(999, "86400000", "b")], "id long, ts string, src string")
+    cat = spark.createDataFrame(CAT, "sensor string, tz_name string, date_order string")
+    r = {x["id"]: (x["instant_us"], x["instant_status"]) for x in normalise_timestamps(df, "ts", "src", cat, plausible=("1970-01-01", "2100-01-01")).collect()}
+    assert r[0] == (1741154828123456, "ok") and r[200] == (86_400_000, "ok") and r[999] == (None, "ambiguous")
+
+
 def test_lines_of_files(spark, tmp_path):
     texts = {
         1: ["Seen,a,Label", "05/03/2025 06:07,1,benign", '"2025-03-05T06:07:08Z",2,bot', "05/03/2025 06:07,3", "n/a,4,bot"],  # one line is damaged

@@ -97,7 +97,7 @@ def parsed(df: DataFrame, text: str, zones: set[str], plausible: tuple[str, str]
         .when(z.rlike(r"^[+-]\d{2}$"), F.concat(z, F.lit(":00")))
         .when(z.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(z, 1, 3), F.lit(":"), F.substring(z, 4, 2)))
         .when(z.rlike(r"^[+-]"), z)
-        .when(z.contains("/"), F.when(z.isin(*sorted(zones)), z).otherwise(F.lit("?")))
+        .when(z.contains("/"), F.when(F.array_contains(F.split(F.lit(",".join(sorted(zones))), ","), z), z).otherwise(F.lit("?")))
         .otherwise(F.coalesce(abbr[F.upper(z)], F.lit("?")))
     )
     return df.withColumn("__p", F.struct(s.alias("shape"), first.alias("mdy"), second.alias("dmy"), *[e.alias(u) for u, e in epoch.items()], zone.alias("zone"))).drop("__t", "__shape", "__g")
@@ -174,22 +174,22 @@ def normalise_timestamps(
         mix = F.broadcast(mix)
     j = parsed(df, text, zones, plausible).join(mix, F.col(f"`{source}`").eqNullSafe(F.col("__s2")), "left")
 
-    def posteriors(n: str, group: list[str]) -> Column:
-        """(posterior, reading) of every valid reading of the group, best first; a reading given twice counts once."""
-        share = F.coalesce(F.col(f"__{n}"), F.array_repeat(F.lit(1.0 / len(group)), len(group)))
-        mask = _mask(group)
-        weights = F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) > 0, share[i]) for i in range(len(group))])
-        # readings that agree with an earlier one add their share to it
+    def best_of(n: str, group: list[str]) -> Column:
+        """(posterior, reading) of the most likely valid reading of the group."""
+        share = lambda i: F.coalesce(F.get(f"__{n}", F.lit(i)), F.lit(1.0 / len(group)))
+        w = [F.when(F.col(f"__p.{r}").isNotNull(), share(i)) for i, r in enumerate(group)]
         if n == "order":
+            # two readings that agree are one
             agree = F.col("__p.mdy") == F.col("__p.dmy")
-            weights = F.when(agree, F.array(share[0] + share[1], F.lit(None).cast("double"))).otherwise(weights)
-        total = F.aggregate(weights, F.lit(junk[n]), lambda s, w: s + F.coalesce(w, F.lit(0.0)))
-        best = F.array_max(F.transform(weights, lambda w, i: F.when(w.isNotNull(), F.struct((w / total).alias("p"), F.get(F.array(*[F.lit(r) for r in group]), i).alias("r")))))
-        return F.when(mask > 0, best)
+            w = [F.when(agree, share(0) + share(1)).otherwise(w[0]), F.when(~F.coalesce(agree, F.lit(False)), w[1])]
+        total = F.lit(junk[n])
+        for x in w:
+            total = total + F.coalesce(x, F.lit(0.0))
+        return F.greatest(*[F.when(x.isNotNull(), F.struct((x / total).alias("p"), F.lit(r).alias("r"))) for x, r in zip(w, group, strict=True)])
 
     only = F.struct(F.lit(1.0 / (1.0 + noise)).alias("p"), F.col("__p.shape").alias("r"))
     shape = F.col("__p.shape")
-    best = F.when(shape == "slash", posteriors("order", GROUPS["order"])).when(shape == "epoch", posteriors("unit", GROUPS["unit"])).when(F.col("__p.mdy").isNotNull(), only)
+    best = F.when(shape == "slash", best_of("order", GROUPS["order"])).when(shape == "epoch", best_of("unit", GROUPS["unit"])).when(F.col("__p.mdy").isNotNull(), only)
     j = j.withColumn("__b", best)
     taken = F.col("__b.p") >= decided
     j = j.withColumn("__r", F.when(taken, F.col("__b.r")))

@@ -154,6 +154,22 @@ def balanced_lag(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
     return ranked.withColumn(out, F.when(F.col("__n") == 1, F.col("__prev.x")).otherwise(F.col("__lag.x"))).drop(PID, "__n", "__lag", "__p2", "__k2", "__prev")
 
 
+def balanced_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, out: str, parts: int | None = None) -> DataFrame:
+    """The last value of column that is not null, per key in the given order up to the row itself: an as-of lookup."""
+    rs = RangeSplit(df, keys, order, parts)
+    key, x = F.struct(*_cols(keys)), F.col(f"`{column}`")
+    seen = df.where(rs.on_edge & x.isNotNull()).withColumn(PID, rs.pid).groupBy(PID, key.alias("__k2")).agg(F.max_by(x, F.struct(*_cols(order))).alias("__last"))
+    # every partition of a boundary key, also those without a value of their own
+    every = df.where(rs.on_edge).select(rs.pid.alias(PID), key.alias("__k2")).distinct()
+    before = Window.partitionBy("__k2").orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    prev = every.join(seen.select(F.col(PID).alias("__p3"), F.col("__k2").alias("__k3"), "__last"), (F.col(PID) == F.col("__p3")) & F.col("__k2").eqNullSafe(F.col("__k3")), "left")
+    prev = prev.select(F.col(PID).alias("__p2"), "__k2", F.last("__last", ignorenulls=True).over(before).alias("__prev"))
+    local = Window.partitionBy(PID, *_cols(keys)).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rs.split(df).withColumn(out, F.last(x, ignorenulls=True).over(local))
+    ranked = ranked.join(F.broadcast(prev), (F.col(PID) == F.col("__p2")) & key.eqNullSafe(F.col("__k2")), "left")
+    return ranked.withColumn(out, F.coalesce(F.col(f"`{out}`"), F.col("__prev"))).drop(PID, "__p2", "__k2", "__prev")
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, one_in: int) -> DataFrame:
     """Keys of a (key, n) count table that hold at least one in `one_in` of all counted rows; null is no key."""
     total = counts.agg(F.sum(n)).scalar()

@@ -53,8 +53,8 @@ def require_columns(df: DataFrame, needed: list[str]) -> None:
 
 
 def clean_number(c: Column, big: float = 1e6) -> Column:
-    """Double with null and NaN as 0 and the infinities as +-big."""
-    d = c.cast("double")
+    """Double with null, NaN and what is no number as 0 and the infinities as +-big."""
+    d = c.try_cast("double")
     inf = float("inf")
     return F.when(d.isNull() | F.isnan(d), 0.0).when(d == inf, big).when(d == -inf, -big).otherwise(d)
 
@@ -65,23 +65,35 @@ def clean_numbers(df: DataFrame, cols: list[str], big: float = 1e6) -> DataFrame
 
 
 def assembled(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    return df.withColumn(out, F.array(*[F.col(f"`{c}`").cast("double") for c in cols]))
+    return df.withColumn(out, F.array(*[F.col(f"`{c}`").try_cast("double") for c in cols]))
 
 
 def std_scaled(df: DataFrame, cols: list[str]) -> DataFrame:
     """Each column by its sample deviation (a constant column becomes 0); the one stats row is a scalar subquery."""
-    return _with_stats(df, df, cols, lambda c, mean, std: F.when(std > 0, F.col(c) / std).otherwise(0.0))
+    return _with_stats(df, df, cols, lambda x, mean, std: F.when(std > 0, x / std).otherwise(0.0))
 
 
 def zscored(df: DataFrame, fit_on: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / std with statistics of fit_on only; a zero deviation counts as 1."""
-    return _with_stats(df, fit_on, cols, lambda c, mean, std: (F.col(c) - mean) / F.when(std == 0, 1.0).otherwise(std))
+    return _with_stats(df, fit_on, cols, lambda x, mean, std: (x - mean) / F.when(std == 0, 1.0).otherwise(std))
 
 
 def _with_stats(df: DataFrame, fit_on: DataFrame, cols: list[str], f) -> DataFrame:
-    stats = fit_on.agg(F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in cols]).alias("st")).scalar()
+    """f(value, mean, deviation) of each column. Statistics go by position: a name may hold dots, blanks or slashes."""
+    x = lambda c: F.col(f"`{c}`")
+    stats = fit_on.agg(F.struct(*[F.struct(F.avg(x(c)).alias("m"), F.stddev_samp(x(c)).alias("s")).alias(f"c{i}") for i, c in enumerate(cols)]).alias("st")).scalar()
     j = df.withColumn("__st", stats)
-    return j.withColumns({c: f(c, F.col(f"__st.{c}.m"), F.col(f"__st.{c}.s")) for c in cols}).drop("__st")
+    return j.withColumns({c: f(x(c), F.col(f"__st.c{i}.m"), F.col(f"__st.c{i}.s")) for i, c in enumerate(cols)}).drop("__st")
+
+
+# Formats tried in this order after ISO, so a day up to 12 reads month first.
+TIME_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss"]
+
+
+def parsed_time(text: Column, formats: list[str] | None = None, iso: bool = True) -> Column:
+    """The timestamp of the first format that fits, ISO first; null if none does."""
+    t = F.trim(text.cast("string"))
+    return F.coalesce(*([t.try_cast("timestamp")] if iso else []), *[F.try_to_timestamp(t, F.lit(f)) for f in (TIME_FORMATS if formats is None else formats)])
 
 
 def null_rate(df: DataFrame, c: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.operators.balanced import balanced_running
+from flowloom.session import checkpointed
 
 
 def ranked_in_bucket(nodes: DataFrame, node: str, seconds: Column, bucket_seconds: int) -> DataFrame:
@@ -35,14 +36,17 @@ def temporal_edges(nodes: DataFrame, node: str, seconds: Column, bucket_seconds:
 def temporal_edges_across(nodes: DataFrame, node: str, seconds: Column, bucket_seconds: int, window_seconds: int, k: int, min_weight: float) -> DataFrame:
     """As temporal_edges, but also to adjacent buckets: rank offset 1..k, ranks counted per bucket.
 
-    The theta join |b1 - b2| <= 1, l < r <= l + k becomes an equi-join: the right side is copied to the (bucket, rank)
-    pairs it can match, 3k of them, so no bucket is ever joined with itself.
+    The theta join |b1 - b2| <= 1, l < r <= l + k becomes an equi-join on (bucket, chunk of 2k ranks): a row meets at most
+    two chunks of each of three buckets (four and a half copies on average), and a chunk holds at most 2k rows.
     """
-    r = ranked_in_bucket(nodes, node, seconds, bucket_seconds)
+    chunk = 2 * k
+    r = ranked_in_bucket(nodes, node, seconds, bucket_seconds).withColumn("chunk", F.floor(F.col("rn") / chunk))
     right = r.select(F.col("id").alias("dst"), F.col("t").alias("t2"), F.col("bucket").alias("b2"), F.col("rn").alias("r2"))
-    right = right.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(k))))
-    right = right.select("dst", "t2", (F.col("b2") + F.col("d")).alias("bucket"), (F.col("r2") - F.col("j")).alias("rn")).where("rn >= 1")
-    j = r.join(right, ["bucket", "rn"])
+    right = right.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    # the ranks it can be reached from are r2 - k to r2 - 1
+    near, far = F.floor((F.col("r2") - 1) / chunk), F.floor((F.col("r2") - k) / chunk)
+    right = right.withColumn("chunk", F.explode(F.array_distinct(F.array(near, far)))).select("dst", "t2", "r2", (F.col("b2") + F.col("d")).alias("bucket"), "chunk")
+    j = r.join(right, ["bucket", "chunk"]).where((F.col("r2") > F.col("rn")) & (F.col("r2") <= F.col("rn") + k))
     dt = F.abs(F.col("t2") - F.col("t"))
     e = j.where((dt <= window_seconds) & (F.col("id") != F.col("dst"))).select(F.col("id").alias("src"), "dst", (1.0 / (1.0 + dt)).alias("weight"))
     return e.where(F.col("weight") >= min_weight).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
@@ -111,16 +115,41 @@ def symmetric_norm(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def diffuse(adjacency: DataFrame, nodes: DataFrame, columns: list[str], hops: int, direction: str = "out") -> DataFrame:
-    """node_id and columns, then each column after 1..hops multiplications with the adjacency (suffix _k)."""
+    """node_id and columns, then each column after 1..hops multiplications with the adjacency (suffix _k).
+
+    The adjacency and every hop are written once: a hop is read by the next and by the result.
+    """
     at, frm = ("src", "dst") if direction == "out" else ("dst", "src")
+    adjacency = checkpointed(adjacency)
     out, current = nodes.select("node_id", *columns), nodes.select("node_id", *columns)
     for k in range(1, hops + 1):
         moved = adjacency.join(current.withColumnRenamed("node_id", frm), frm)
-        current = moved.groupBy(F.col(at).alias("node_id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns])
+        current = checkpointed(moved.groupBy(F.col(at).alias("node_id")).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in columns]))
         out = out.join(current.withColumnsRenamed({c: f"{c}_{k}" for c in columns}), "node_id", "left")
     return out
 
 
+def sign_features(adjacency: DataFrame, nodes: DataFrame, vector: str, hops: int, direction: str = "out") -> DataFrame:
+    """(node_id, vector): [X, AX, ..., A^hops X] as one array a node; a node without neighbours has zeros.
+
+    nodes: node_id, vector array<double> of one length, without nulls. Entries are summed as columns, inside codegen.
+    """
+    size = nodes.agg(F.max(F.size(vector))).first()[0] or 0
+    names = [f"x{i}" for i in range(size)]
+    flat = nodes.select("node_id", *[F.get(vector, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    d = diffuse(adjacency, flat, names, hops, direction)
+    order = [f"{n}_{k}" if k else n for k in range(hops + 1) for n in names]
+    return d.select("node_id", F.array(*[F.coalesce(c, F.lit(0.0)) for c in order]).alias(vector))
+
+
+def gathered_messages(edges: DataFrame, nodes: DataFrame, vector: str) -> DataFrame:
+    """message_pass for vectors: per relation and target the array sum(w x) / max(sum(w), 1)."""
+    size = nodes.agg(F.max(F.size(vector))).first()[0] or 0
+    j = edges.join(nodes.select(F.col("node_id").alias("src"), *[F.get(vector, F.lit(i)).alias(f"x{i}") for i in range(size)]), "src")
+    g = j.groupBy("edge_type_id", F.col("dst").alias("node_id")).agg(F.greatest(F.sum("weight"), F.lit(1.0)).alias("s"), *[F.sum(F.col("weight") * F.col(f"x{i}")).alias(f"x{i}") for i in range(size)])
+    return g.select("edge_type_id", "node_id", F.array(*[F.col(f"x{i}") / F.col("s") for i in range(size)]).alias("message"))
+
+
 def message_pass(edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
     """Per relation and target: sum(w x) / max(sum(w), 1)."""
     j = edges.join(nodes.select(F.col("node_id").alias("src"), F.col(column).alias("x")), "src")
@@ -134,7 +163,8 @@ def neighbour_sample(edges: DataFrame, seeds: DataFrame, fanout: list[int], seed
     for h, n in enumerate(fanout):
         w = Window.partitionBy("dst").orderBy(F.md5(F.concat_ws(":", "src", "dst", F.lit(str(seed + h)))), "src")
         picked = edges.select("src", "dst").distinct().join(frontier, "dst", "left_semi").withColumn("r", F.row_number().over(w)).where(F.col("r") <= n)
-        picked = picked.select(F.lit(h).alias("hop"), "src", "dst")
+        # read by the result and by the next hop
+        picked = checkpointed(picked.select(F.lit(h).alias("hop"), "src", "dst"))
         out = picked if out is None else out.unionByName(picked)
         frontier = picked.select(F.col("src").alias("dst")).distinct()
     return out

@@ -48,6 +48,11 @@ def split(df: DataFrame, group: str, key: str, train: float = 0.8, val: float =
     return r.withColumn("split", out).drop("rn", "__g", "__n")
 
 
+def joined_splits(df: DataFrame, split: str, of: list[str], name: str) -> DataFrame:
+    """The rows of several splits as one split, in one pass."""
+    return df.where(F.col(split).isin(*of)).withColumn(split, F.lit(name))
+
+
 def random_batch(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n random rows: a top-n by hash, taken per partition first."""
     return df.orderBy(md5_key(key, seed), key).limit(n)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import CLASSES, LABEL_NAMES, MARKS, canonical_label, label_id
 from flowloom.operators import features as ft
-from flowloom.operators import graph, learning, metrics, sampling, vector
-from flowloom.operators.balanced import balanced_agg, balanced_running
-from flowloom.session import table
+from flowloom.operators import graph, learning, metrics, reports, sampling, vector
+from flowloom.operators.balanced import balanced_agg, balanced_last, balanced_running
+from flowloom.session import checkpointed, table
 from flowloom.streaming import windows
 
 QUERIES: dict = {}
@@ -213,10 +213,40 @@ def q_sign_hop1(s, d):
     return _sign(s, d, 1)
 
 
-@query(H1 + """, h2 AS (SELECT a.src AS node_id, sum(w * x) AS x FROM a JOIN h1 ON a.dst = h1.node_id GROUP BY a.src), h3 AS (SELECT a.src AS node_id, sum(w * x) AS x FROM a JOIN h2 ON a.dst = h2.node_id GROUP BY a.src)
-SELECT n.node_id, round(n.x, 5) AS x, round(h1.x, 5) AS x_1, round(h2.x, 5) AS x_2, round(h3.x, 5) AS x_3 FROM n LEFT JOIN h1 USING (node_id) LEFT JOIN h2 USING (node_id) LEFT JOIN h3 USING (node_id)""")
+def flow_vectors(s, d):
+    return table(s, d, "phase2_sampled_500k").select("node_id", vector.clean_vector(F.col("features")).alias("features"))
+
+
+VECTORS = "SELECT node_id, list_transform(features, lambda x: CASE WHEN x IS NULL OR isnan(x) OR isinf(x) THEN 0.0 ELSE CAST(x AS DOUBLE) END) AS v FROM phase2_sampled_500k"
+
+
+def _hop_sql(k: int) -> str:
+    return f"h{k} AS (SELECT a.src AS node_id, pos, sum(w * v) AS v FROM a JOIN h{k - 1} x ON a.dst = x.node_id GROUP BY a.src, pos)"
+
+
+@query(NORM + f""", h0 AS (SELECT node_id, unnest(v) AS v, unnest(range(len(v))) AS pos FROM ({VECTORS})), {_hop_sql(1)}, {_hop_sql(2)}, {_hop_sql(3)},
+u AS (SELECT 0 AS hop, * FROM h0 UNION ALL SELECT 1, node_id, v, pos FROM h1 UNION ALL SELECT 2, node_id, v, pos FROM h2 UNION ALL SELECT 3, node_id, v, pos FROM h3)
+SELECT node_id, hop, round(sum(v), 3) + 0.0 AS total, round(sum(v * pos), 2) + 0.0 AS moment FROM u GROUP BY ALL""")
 def q_sign(s, d):
-    return _sign(s, d, 3)
+    """[X, AX, A2X, A3X] of the 78 flow features; of each hop its sum and its sum by position."""
+    x = graph.sign_features(graph.symmetric_norm(nodes(s, d), fused(s, d)), flow_vectors(s, d), "features", 3)
+    e = x.select("node_id", F.posexplode("features").alias("at", "v")).withColumn("hop", F.floor(F.col("at") / 78).cast("int"))
+    return e.groupBy("node_id", "hop").agg((F.round(F.sum("v"), 3) + 0.0).alias("total"), (F.round(F.sum(F.col("v") * (F.col("at") % 78)), 2) + 0.0).alias("moment"))
+
+
+@query(NORM + """, x AS (SELECT node_id, x FROM n), g1 AS (SELECT a.src AS node_id, sum(w * x) AS x FROM a JOIN x ON a.dst = x.node_id GROUP BY 1), g2 AS (SELECT a.src AS node_id, sum(w * x) AS x FROM a JOIN g1 ON a.dst = g1.node_id GROUP BY 1)
+SELECT n.node_id, round(n.x, 5) AS x, round(g1.x, 5) AS x_1, round(g2.x, 5) AS x_2 FROM n LEFT JOIN g1 USING (node_id) LEFT JOIN g2 USING (node_id)""")
+def q_sign_label(s, d):
+    return _sign(s, d, 2)
+
+
+@query(f"""WITH m AS (SELECT edge_type_id, dst AS node_id, pos, sum(weight * x) / greatest(any_value(t), 1.0) AS x FROM (SELECT *, sum(weight) OVER (PARTITION BY edge_type_id, dst) AS t FROM ({FUSED}) e WHERE src IN (SELECT node_id FROM phase2_sampled_500k)) e
+JOIN (SELECT node_id, unnest(v) AS x, unnest(range(len(v))) AS pos FROM ({VECTORS})) v ON e.src = v.node_id GROUP BY ALL)
+SELECT edge_type_id, node_id, round(sum(x), 3) + 0.0 AS total, round(sum(x * pos), 2) + 0.0 AS moment FROM m GROUP BY ALL""")
+def q_message_vectors(s, d):
+    m = graph.gathered_messages(fused(s, d), flow_vectors(s, d), "features")
+    e = m.select("edge_type_id", "node_id", F.posexplode("message").alias("pos", "x"))
+    return e.groupBy("edge_type_id", "node_id").agg((F.round(F.sum("x"), 3) + 0.0).alias("total"), (F.round(F.sum(F.col("x") * F.col("pos")), 2) + 0.0).alias("moment"))
 
 
 @query(f"SELECT edge_type_id, dst AS node_id, round(sum(weight * x) / greatest(sum(weight), 1.0) + 0.0000001, 5) AS message FROM ({FUSED}) e JOIN ({NODES}) n ON e.src = n.node_id GROUP BY ALL")
@@ -341,9 +371,17 @@ def q_trim(s, d):
 
 @query("""SELECT node_id, CAST(epoch_us(coalesce(try_strptime(trim(event_time), '%Y-%m-%d %H:%M:%S'), try_strptime(trim(event_time), '%m/%d/%Y %H:%M'), try_strptime(trim(event_time), '%d/%m/%Y %H:%M:%S'))) AS BIGINT) AS us FROM phase2_sampled_500k""")
 def q_ts_parse(s, d):
-    t = F.trim("event_time")
     formats = ["yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm:ss"]
-    return table(s, d, "phase2_sampled_500k").select("node_id", F.unix_micros(F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])).alias("us"))
+    return table(s, d, "phase2_sampled_500k").select("node_id", F.unix_micros(ft.parsed_time(F.col("event_time"), formats, iso=False)).alias("us"))
+
+
+@query("""SELECT event_id, CAST(epoch_us(CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 2 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('second', ts) ELSE date_trunc('minute', ts) END) AS BIGINT) AS us FROM events WHERE day(ts) > 12""")
+def q_ts_formats(s, d):
+    """Event times written in the five formats, days above 12 so that each text has one reading, and read back."""
+    e = ev(s, d).where(F.day("ts") > 12)
+    styles = ["yyyy-MM-dd HH:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss"]
+    text = F.coalesce(*[F.when(F.col("event_id") % 5 == i, F.date_format("ts", f)) for i, f in enumerate(styles)])
+    return e.select("event_id", F.unix_micros(ft.parsed_time(text)).alias("us"))
 
 
 @query("SELECT node_id, 1700000000 + node_id % 86400 AS t FROM phase2_sampled_500k")
@@ -584,10 +622,10 @@ def q_topk(s, d):
 
 @query("""SELECT a.event_id, (SELECT max(b.event_id) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.ts <= a.ts) AS last_view FROM events a WHERE a.event_type = 'purchase'""")
 def q_asof(s, d):
-    e = ev(s, d).where(F.col("event_type").isin("purchase", "view"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_type").desc(), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    v = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(w)
-    return e.withColumn("last_view", v).where("event_type = 'purchase'").select("event_id", "last_view")
+    # a view at the same time counts, so views come first; a hot user is spread over range partitions
+    e = ev(s, d).where(F.col("event_type").isin("purchase", "view")).select("user_id", "ts", "event_id", "event_type")
+    e = e.withColumn("late", F.col("event_type") == "purchase").withColumn("view", F.when(F.col("event_type") == "view", F.col("event_id")))
+    return balanced_last(e, ["user_id"], ["ts", "late", "event_id"], "view", "last_view").where("event_type = 'purchase'").select("event_id", "last_view")
 
 
 @query("SELECT n_nationkey, n_name, range AS replica_id FROM nation, range(5)")
@@ -700,7 +738,128 @@ def q_pca_2d(s, d):
 @query()
 def q_noise_sweep(s, d):
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    return learning.noise_sweep(e, "embedding", [0.0, 0.5, 1.0, 2.0, 5.0])
+    return learning.noise_sweep(e, "embedding", [i / 2 for i in range(11)])
+
+
+def _labelled(s, d):
+    return table(s, d, "phase2_sampled_500k").select("node_id", "split", F.coalesce(F.col("label_multiclass"), F.lit(15)).cast("double").alias("label"), vector.clean_vector(F.col("features")).alias("features"))
+
+
+@query()
+def q_noise_scores(s, d):
+    """Macro-F1 of a forest on the test split under the eleven noise levels."""
+    n = _labelled(s, d)
+    model = learning.baseline("forest", 78, 16).fit(learning.with_vector(n.where("split = 'train'"), "features"))
+    return learning.noise_scores(model, n.where("split = 'test'"), "features", "label", [i / 2 for i in range(11)])
+
+
+@query()
+def q_ml_student(s, d):
+    """A perceptron on [X, AX, A2X, A3X], trained on class-weighted draws from the train split, scored on the test split."""
+    x = graph.sign_features(graph.symmetric_norm(nodes(s, d), fused(s, d)), flow_vectors(s, d), "features", 3)
+    n = checkpointed(_labelled(s, d).drop("features").join(x, "node_id"))
+    train = learning.balanced_training_rows(n.where("split = 'train'"), "label", "node_id")
+    student = learning.baseline("mlp", 312, 16)
+    return learning.fit_and_score(learning.with_vector(train, "features"), learning.with_vector(n.where("split = 'test'"), "features"), student)[1]
+
+
+@query()
+def q_component_ablation(s, d):
+    """Eight rows: a student on diffused features, with relations, hops, bypass or class weights taken away."""
+    return learning.component_ablation(_labelled(s, d), fused(s, d).select("src", "dst", "edge_type_id"), 78, 16)
+
+
+# --- reports, curves, groupings ------------------------------------------------------------------------------------
+
+OVR = """SELECT vec_id, label, unnest(range(12)) AS cls, unnest(CAST(embedding AS DOUBLE[])[1:12]) AS score FROM embeddings"""
+OVR_POINTS = f"""SELECT cls, score, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp, p, n, row_number() OVER w AS r, count(*) OVER (PARTITION BY cls) AS points
+FROM (SELECT cls, score, count(*) FILTER (label = cls) AS p, count(*) FILTER (label <> cls) AS n FROM ({OVR}) GROUP BY cls, score) WINDOW w AS (PARTITION BY cls ORDER BY score DESC)"""
+
+
+def _ovr(s, d):
+    return table(s, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("scores"))
+
+
+@query(f"SELECT CAST(cls AS INTEGER) AS cls, CAST(sum(p) AS BIGINT) AS support, round(CASE WHEN sum(p) > 0 AND sum(n) > 0 THEN sum(n * (tp - p / 2.0)) / CAST(sum(p) * sum(n) AS DOUBLE) END, 6) AS auc FROM ({OVR_POINTS}) GROUP BY cls")
+def q_ovr_auc(s, d):
+    """Twelve classes of which ten occur: the two without positives have no AUC."""
+    return metrics.one_vs_rest_auc(_ovr(s, d), "label", "scores", 12)
+
+
+@query(f"SELECT CAST(cls AS INTEGER) AS cls, score, tp, fp FROM ({OVR_POINTS}) WHERE (r - 1) % greatest(1, points // 200) = 0")
+def q_ovr_curves(s, d):
+    p = metrics.one_vs_rest_points(_ovr(s, d), "label", "scores", 12)
+    return metrics.thinned_curve(p.withColumn("neg", -F.col("score")), ["cls"], ["neg"]).select("cls", "score", "tp", "fp")
+
+
+BS = "CASE event_id % 3 WHEN 0 THEN 16 WHEN 1 THEN 64 ELSE 512 END"
+
+
+@query(f"""SELECT event_type || '_baseline' AS system, upper(event_type || ' Baseline') AS display_name, {BS} AS batch_size, round(quantile_cont(value, 0.5), 6) AS end_to_end_p50_ms, round(quantile_cont(value, 0.95), 6) AS end_to_end_p95_ms, round(quantile_cont(value, 0.99), 6) AS end_to_end_p99_ms,
+round(avg(value), 6) AS throughput_nodes_per_sec, count(*) AS n FROM events GROUP BY ALL""")
+def q_report_nested(s, d):
+    """A report system -> bs_N -> metrics, built from events and flattened to rows; keys of another form are left out."""
+    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
+    size = F.when(F.col("event_id") % 3 == 0, "bs_16").when(F.col("event_id") % 3 == 1, "bs_64").otherwise("bs_512")
+    m = F.struct(F.struct(q(0.5).alias("p50_ms"), q(0.95).alias("p95_ms"), q(0.99).alias("p99_ms")).alias("end_to_end_latency"), F.round(F.avg("value"), 6).alias("throughput_nodes_per_sec"), F.count("*").alias("n"))
+    per = ev(s, d).groupBy(F.concat("event_type", F.lit("_baseline")).alias("system"), size.alias("key")).agg(m.alias("m"))
+    sizes = per.groupBy("system").agg(F.map_from_entries(F.concat(F.collect_list(F.struct("key", "m")), F.array(F.struct(F.lit("notes").alias("key"), F.first("m").alias("m"))))).alias("sizes"))
+    report = sizes.agg(F.map_from_entries(F.collect_list(F.struct("system", "sizes"))).alias("report"))
+    return reports.flattened_latency(report, "report", ["throughput_nodes_per_sec", "n"], ["p50_ms", "p95_ms", "p99_ms"])
+
+
+@query(f"SELECT CAST(label_multiclass AS INTEGER) AS cls, CASE label_multiclass {' '.join(f'WHEN {i} THEN {chr(39)}{c}{chr(39)}' for i, c in enumerate(CLASSES))} END AS class_name, count(*) AS support, count(DISTINCT source) AS sources FROM phase2_sampled_500k WHERE label_multiclass IS NOT NULL GROUP BY ALL")
+def q_report_classes(s, d):
+    per = table(s, d, "phase2_sampled_500k").where("label_multiclass is not null").groupBy(F.col("label_multiclass").cast("string").alias("k")).agg(F.struct(F.count("*").alias("support"), F.countDistinct("source").alias("sources")).alias("m"))
+    report = per.agg(F.map_from_entries(F.collect_list(F.struct("k", "m"))).alias("report"))
+    return reports.flattened_classes(report, "report", dict(enumerate(CLASSES)))
+
+
+@query("""SELECT unnest(['nan_total', 'pos_inf_total', 'neg_inf_total', 'total_rows', 'vector_length', 'total_feature_values']) AS metric, unnest([
+CAST(sum(len(list_filter(features, lambda x: isnan(x)))) AS BIGINT), CAST(sum(len(list_filter(features, lambda x: isinf(x) AND x > 0))) AS BIGINT), CAST(sum(len(list_filter(features, lambda x: isinf(x) AND x < 0))) AS BIGINT),
+count(*), CAST(max(len(features)) AS BIGINT), CAST(sum(len(features)) AS BIGINT)]) AS value FROM phase2_sampled_500k""")
+def q_validation_report(s, d):
+    return vector.validation_report(table(s, d, "phase2_sampled_500k"), "features")
+
+
+@query("SELECT pos, round(avg(abs(x)), 6) AS strength FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY pos ORDER BY strength DESC, pos LIMIT 20")
+def q_top_features_global(s, d):
+    e = table(s, d, "embeddings").select(F.posexplode("embedding").alias("pos", "x"))
+    g = e.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg(F.abs(F.col("x").cast("double"))), 6).alias("strength"))
+    return g.orderBy(F.desc("strength"), "pos").limit(20)
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())")
+def q_grouping_sets(s, d):
+    li = table(s, d, "lineitem")
+    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linenumber")], []]
+    return li.groupingSets(sets, "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("SELECT l_linestatus, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'N') AS n, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1")
+def q_pivot(s, d):
+    p = table(s, d, "lineitem").groupBy("l_linestatus").pivot("l_returnflag", ["A", "N", "R"]).agg(F.count(F.lit(1))).fillna(0)
+    return p.toDF("l_linestatus", "a", "n", "r")
+
+
+@query("SELECT node_id, 'fit' AS split FROM phase2_sampled_500k WHERE split IN ('train', 'val')")
+def q_train_val(s, d):
+    n = table(s, d, "phase2_sampled_500k").select("node_id", "split")
+    return sampling.joined_splits(n, "split", ["train", "val"], "fit")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(list_concat(list_transform(CAST(embedding AS DOUBLE[])[1:16], lambda x: x * 2), CAST(embedding AS DOUBLE[])[17:]), lambda x: x)), 5) AS total, len(embedding) AS n FROM embeddings")
+def q_prefix_overwrite(s, d):
+    """The first 16 entries replaced, the rest as they were."""
+    e = F.col("embedding").cast("array<double>")
+    v = vector.prefix_overwritten(e, F.transform(F.slice(e, 1, 16), lambda x: x * 2))
+    return table(s, d, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 5).alias("total"), F.size(v).cast("long").alias("n"))
+
+
+@query("SELECT node_id, round(0.6 * l1 + 0.4 * l2, 6) AS loss FROM (SELECT node_id, -ln(0.05 + 0.9 * (node_id % 97) / 97.0) AS l1, -ln(0.05 + 0.9 * (node_id % 89) / 89.0) AS l2 FROM phase2_sampled_500k)")
+def q_multi_task_loss(s, d):
+    p = lambda m: -F.log(F.lit(0.05) + F.lit(0.9) * (F.col("node_id") % m) / F.lit(float(m)))
+    return table(s, d, "phase2_sampled_500k").select("node_id", F.round(metrics.multi_task_loss(p(97), p(89)), 6).alias("loss"))
 
 
 CLASS = "SELECT n.node_id, n.split, coalesce(regexp_replace(lower(trim(n.attack_type)), '[ /\\-]+', '_', 'g'), v.attack_type) AS class FROM phase2_sampled_500k n LEFT JOIN label_vocab v USING (label_multiclass)"

@@ -1,7 +1,7 @@
 """The whole chain from raw CSV to dense graph tables, as functions and as a command line.
 
     python -m flowloom.plans.pipeline prepare --input data/ --output out/prepared
-    python -m flowloom.plans.pipeline features|sample|temporal|similarity|fuse|export ...
+    python -m flowloom.plans.pipeline features|validate|sample|temporal|similarity|fuse|export|diffuse ...
 
 Every phase reads and writes Parquet, checks its columns and least rows, and can leave a JSON document of counts.
 Node ids are given once, when the prepared rows are written; every later phase reads them back.
@@ -18,7 +18,7 @@ from flowloom.functions.labels import canonical_label, label_id
 from flowloom.operators import features as ft
 from flowloom.operators import graph, sampling, vector
 from flowloom.session import build_session
-from flowloom.sources.files import read_csv, write_metrics, write_parquet
+from flowloom.sources.files import read_csv, write_metrics, write_parquet, write_single_csv
 
 # Most rows kept of each class.
 TARGET_COUNTS = {
@@ -27,8 +27,6 @@ TARGET_COUNTS = {
     "infiltration": 1000000, "web_sql_injection": 1000000, "heartbleed": 1000000,
 }
 
-# Formats tried in this order, so a day up to 12 reads month first.
-TIME_FORMATS = ["M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy HH:mm:ss"]
 META = {"node_id", "partition_id", "replica_id", "label_multiclass", "label_binary"}
 
 
@@ -41,8 +39,7 @@ def prepared(df: DataFrame, replication: int = 5) -> DataFrame:
     time = ft.timestamp_column(df)
     df = df.withColumn("attack_type", canonical_label(F.col(f"`{label}`").cast("string"))).drop(label)
     df = df.withColumn("label_multiclass", label_id(F.col("attack_type"))).withColumn("label_binary", F.when(F.col("attack_type") == "benign", 0).otherwise(1))
-    t = F.col(f"`{time}`").cast("string") if time else F.lit(None).cast("string")
-    parsed = F.coalesce(t.try_cast("timestamp"), *[F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS])
+    parsed = ft.parsed_time(F.col(f"`{time}`")) if time else F.lit(None).cast("timestamp")
     out = ft.replicated(df.withColumn("event_time", parsed), replication).withColumn("node_id", F.monotonically_increasing_id())
     return out.withColumn("event_time", F.coalesce("event_time", F.timestamp_seconds(F.lit(1700000000) + F.col("node_id") % 86400)))
 
@@ -85,9 +82,9 @@ def exported(nodes: DataFrame, edges: DataFrame, max_nodes: int = 0, seed: int =
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("phase", choices=["prepare", "features", "sample", "temporal", "similarity", "fuse", "export"])
+    p.add_argument("phase", choices=["prepare", "features", "validate", "sample", "temporal", "similarity", "fuse", "export", "diffuse"])
     p.add_argument("--input", required=True)
-    p.add_argument("--second", help="fuse: similarity edges; export: edges")
+    p.add_argument("--second", help="fuse: similarity edges; export, diffuse: edges")
     p.add_argument("--output", required=True)
     p.add_argument("--metrics-output")
     p.add_argument("--master")
@@ -107,27 +104,44 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     p.add_argument("--temporal-scale", type=float, default=1.0)
     p.add_argument("--similarity-scale", type=float, default=0.25)
     p.add_argument("--max-nodes", type=int, default=0)
+    p.add_argument("--hops", type=int, default=3)
+    p.add_argument("--partitions", type=int, help="partitions of what is written")
+    p.add_argument("--output-mode", choices=["overwrite", "append", "errorifexists", "ignore"], default="overwrite")
+    p.add_argument("--max-null-time-rate", type=float, default=0.01)
     a = p.parse_args(argv)
     spark = spark or build_session(f"flowloom-{a.phase}", a.master, a.driver_memory, a.shuffle_partitions)
     read = spark.read.parquet
     out = a.output
+
+    def write(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+        write_parquet(df.repartition(a.partitions) if a.partitions else df, path, a.output_mode, partition_by)
+
     if a.phase == "prepare":
-        write_parquet(prepared(read_csv(spark, a.input), a.replication_factor), out)
+        write(prepared(read_csv(spark, a.input), a.replication_factor), out)
     elif a.phase == "features":
-        write_parquet(engineered(read(a.input), a.scale), out)
+        write(engineered(read(a.input), a.scale), out)
+    elif a.phase == "validate":
+        report = vector.validation_report(read(a.input), "features")
+        write_single_csv(report, out)
+        vector.require_finite(report)
+        return
+    elif a.phase == "diffuse":
+        nodes, edges = read(a.input), read(a.second)
+        n = nodes.select("node_id", vector.clean_vector(F.col("features")).alias("features"))
+        write(graph.sign_features(graph.symmetric_norm(nodes, edges), n, "features", a.hops), out)
     elif a.phase == "sample":
-        write_parquet(sampled(read(a.input), seed=a.seed), out)
+        write(sampled(read(a.input), seed=a.seed), out)
     elif a.phase == "temporal":
-        write_parquet(temporal(read(a.input), a.bucket_seconds, a.temporal_window, a.max_neighbors, a.min_weight, a.cross_bucket), out)
+        write(temporal(read(a.input), a.bucket_seconds, a.temporal_window, a.max_neighbors, a.min_weight, a.cross_bucket, a.max_null_time_rate), out)
     elif a.phase == "similarity":
-        write_parquet(similarity(read(a.input), a.top_k, a.threshold), out)
+        write(similarity(read(a.input), a.top_k, a.threshold), out)
     elif a.phase == "fuse":
-        write_parquet(graph.fuse(read(a.input), read(a.second), a.temporal_scale, a.similarity_scale), out, partition_by=["edge_type_id"])
+        write(graph.fuse(read(a.input), read(a.second), a.temporal_scale, a.similarity_scale), out, partition_by=["edge_type_id"])
     else:
         m, nodes, edges = exported(read(a.input), read(a.second), a.max_nodes, a.seed)
-        write_parquet(m, f"{out}/node_map")
-        write_parquet(nodes, f"{out}/nodes")
-        write_parquet(edges, f"{out}/edges")
+        write(m, f"{out}/node_map")
+        write(nodes, f"{out}/nodes")
+        write(edges, f"{out}/edges")
     result = read(f"{out}/nodes" if a.phase == "export" else out)
     ft.require_rows(result, a.min_rows)
     if a.metrics_output:

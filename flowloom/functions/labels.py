@@ -19,11 +19,8 @@ MARKS = [
     ("brute_force", "web_bruteforce"), ("infiltration", "infiltration"), ("heartbleed", "heartbleed"),
 ]
 
-# Names under which a label field appears.
-LABEL_NAMES = [
-    "label", "label_name", "attack_label", "class", "target", "traffic_class", "category", "verdict",
-    "attack_type", "label_multiclass", "attack_class", "class_label",
-]
+# Words of which one stands in the name of a field that holds classes as ids; classes as texts are known by content alone.
+LABEL_WORDS = r"(?:^|_)(?:label|class|attack|category|target|verdict)(?:_|$)"
 
 
 def fold(c: Column) -> Column:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import CLASSES, LABEL_NAMES, fold, names_class
+from flowloom.functions.labels import CLASSES, LABEL_WORDS, fold, names_class
 from flowloom.operators.drift import field_table
 from flowloom.sources.delimited import cells_of, headers, is_decimal, is_int, quoting_broken, unquoted, with_header
 
@@ -25,9 +25,7 @@ WRAPPED = r'(?s)^\{\s*"type"\s*:\s*\d+\s*,\s*"values"\s*:\s*(.*?)\s*\}$'
 
 def rule_table(fields: DataFrame) -> DataFrame:
     """(file_id, rules): one character a field: i, d or t for its type, capital if the field is the label."""
-    label = (
-        "(f.n_class * 2 >= f.n and f.n > 0) or (array_contains(array({names}), regexp_replace(f.name, '^f_', '')) and (f.n_class + f.n_id) * 2 >= f.n)"
-    ).format(names=", ".join(f"'{n}'" for n in LABEL_NAMES))
+    label = f"(f.n_class * 2 >= f.n and f.n > 0) or (f.name rlike '{LABEL_WORDS}' and (f.n_class + f.n_id) * 2 >= f.n)"
     code = "case f.kind when 'integer' then 'i' when 'decimal' then 'd' else 't' end"
     return fields.select("file_id", F.expr(f"array_join(transform(fields, f -> if({label}, upper({code}), {code})), '')").alias("rules"))
 

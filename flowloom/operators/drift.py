@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import difflib
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import CLASSES, LABEL_NAMES, canonical_label, class_name, fold, names_class
+from flowloom.functions.labels import CLASSES, LABEL_WORDS, canonical_label, class_name, fold, names_class
 from flowloom.operators.balanced import balanced_lag
 from flowloom.sources.delimited import cells_of, headers, is_decimal, is_int, quoting_broken, unquoted, with_header
 from flowloom.session import checkpointed
@@ -35,6 +36,10 @@ def undamaged_cells(lines: DataFrame, head: DataFrame) -> DataFrame:
     return j.select("file_id", F.posexplode("cells").alias("pos", "cell")).select("file_id", "pos", unquoted(F.col("cell")).alias("v"))
 
 
+# The least of a field's texts under several orders: two fields agree in about the share of distinct texts they have in common.
+SKETCH = [0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x3C79AC492BA7B653, 0x1C69B3F74AC4AE35]
+
+
 def profile_fields(lines: DataFrame, head: DataFrame) -> DataFrame:
     """One row per (file_id, pos) with type counts and sketch; partial aggregates are merged by key."""
     v = F.col("v")
@@ -56,6 +61,7 @@ def profile_fields(lines: DataFrame, head: DataFrame) -> DataFrame:
         F.count_if(F.when(k == 3, v.rlike(r"[0-9]:[0-9][0-9]|[0-9]T[0-9]{6}")).otherwise((k == 1) & F.length(v).isin(10, 13, 16))).alias("n_time"),
         F.count_if(F.when(k == 3, names_class(v))).alias("n_class"),
         F.count_if((k == 1) & (F.length(v) <= 2)).alias("n_id"),
+        *[F.min(F.when(k == 3, F.xxhash64(v).bitwiseXOR(F.lit(seed)))).alias(f"h{i}") for i, seed in enumerate(SKETCH)],
     )
 
 
@@ -73,6 +79,7 @@ def field_table(lines: DataFrame) -> DataFrame:
         mean.cast("float").alias("mean"), F.sqrt(F.greatest(F.try_divide("s2", "n_num") - mean * mean, F.lit(0.0))).cast("float").alias("sd"),
         F.try_divide(F.col("n_zero"), F.col("n_num")).cast("float").alias("zero"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_time", "n_class", "n_id")],
+        F.array(*[F.col(f"h{i}") for i in range(len(SKETCH))]).alias("texts"),
     )
     return j.groupBy("file_id").agg(F.array_sort(F.collect_list(field)).alias("fields"))
 
@@ -93,7 +100,13 @@ def time_cells(lines: DataFrame, fields: DataFrame | None = None) -> DataFrame:
 
 
 def _is_label(f) -> bool:
-    return f["n_class"] * 2 >= f["n"] > 0 or f["name"].removeprefix("f_") in LABEL_NAMES and (f["n_class"] + f["n_id"]) * 2 >= f["n"]
+    return f["n_class"] * 2 >= f["n"] > 0 or re.search(LABEL_WORDS, f["name"]) is not None and (f["n_class"] + f["n_id"]) * 2 >= f["n"]
+
+
+def shared_texts(a, b) -> float:
+    """Estimated share of distinct texts that two fields have in common."""
+    pairs = [(x, y) for x, y in zip(a.get("texts") if a.get("texts") is not None else [], b.get("texts") if b.get("texts") is not None else [], strict=False)]
+    return sum(x is not None and x == y for x, y in pairs) / len(pairs) if pairs else 0.0
 
 
 def similarity(a, b) -> float:
@@ -109,7 +122,9 @@ def similarity(a, b) -> float:
     if num_a != num_b:
         return 0.0
     if not num_a:
-        return 0.5 + 0.5 * name if name >= 0.4 else 0.0
+        # the same texts under whatever name; else the names decide, as ids and free texts hardly recur
+        common = shared_texts(a, b)
+        return 0.5 + 0.5 * max(name, common) if name >= 0.4 or common >= 0.5 else 0.0
     na, nb = a["n_num"], b["n_num"]
     spread = math.sqrt((a["sd"] ** 2 + 0.05) / na + (b["sd"] ** 2 + 0.05) / nb)
     z = abs(a["mean"] - b["mean"]) / spread
@@ -314,7 +329,7 @@ def unified_fields(fields: DataFrame, changes: DataFrame, max_names: int = 20_00
 
     # -1: other content, 0: no values, else the values of that content and one
     content = "transform(fields, f -> case when f.n = 0 then 0L when {} then {} + 1L else -1L end)"
-    is_label = "f.n_class * 2 >= f.n or array_contains(array({}), regexp_replace(f.name, '^f_', '')) and (f.n_class + f.n_id) * 2 >= f.n".format(", ".join(f"'{n}'" for n in LABEL_NAMES))
+    is_label = f"f.n_class * 2 >= f.n or f.name rlike '{LABEL_WORDS}' and (f.n_class + f.n_id) * 2 >= f.n"
     of_file = fields.select(
         "file_id", F.expr("transform(fields, f -> f.name)").alias("names"), F.expr(content.format(is_label, "f.n_class")).alias("label"), F.expr(content.format("f.n_time * 2 >= f.n", "f.n_time")).alias("time"),
         F.expr("transform(fields, f -> f.kind)").alias("kinds"), F.expr("transform(fields, f -> f.n)").alias("counts"), F.expr("transform(fields, f -> f.n_num)").alias("numbers"),

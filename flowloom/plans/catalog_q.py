@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flowloom.functions.labels import CLASSES, LABEL_NAMES, MARKS, canonical_label, label_id
+from flowloom.functions.labels import CLASSES, LABEL_WORDS, MARKS, canonical_label, label_id
 from flowloom.operators import features as ft
 from flowloom.operators import graph, learning, metrics, reports, sampling, vector
 from flowloom.operators.balanced import balanced_agg, balanced_last, balanced_running
@@ -895,8 +895,6 @@ SELECT table_name, node_id, CAST(min(us) AS BIGINT) AS epoch_us FROM g WHERE us
 CELL = """'("(?:[^"]|"")*"|[^"' || p || ']*)'"""
 CELLS = "CASE WHEN contains({t}, '\"') THEN regexp_extract_all(d || {t}, p || " + CELL + ", 1) ELSE string_split({t}, d) END"
 KNOWN = "(" + CANON.replace("attack_type", "v") + f" <> 'unknown' OR {FOLD.replace('attack_type', 'v')} = 'unknown')"
-LABELS = ", ".join(f"'{n}'" for n in LABEL_NAMES)
-
 SQL["p7_found"] = f"""WITH h AS (SELECT file_id, min(line_text) AS t FROM raw_flows WHERE line_no = 1 AND line_text IS NOT NULL GROUP BY 1),
 n AS (SELECT *, length(t) - length(replace(t, ',', '')) AS a, length(t) - length(replace(t, ';', '')) AS b, length(t) - length(replace(t, chr(9), '')) AS c, length(t) - length(replace(t, '|', '')) AS e FROM h),
 g AS (SELECT file_id, t, d, CASE d WHEN '|' THEN '\\|' ELSE d END AS p FROM (SELECT *, CASE WHEN a >= greatest(b, c, e) THEN ',' WHEN b >= greatest(c, e) THEN ';' WHEN c >= e THEN chr(9) ELSE '|' END AS d FROM n)),
@@ -908,7 +906,7 @@ x AS (SELECT line_id, file_id, unnest(names) AS name, unnest(range(1, len(names)
 v AS (SELECT line_id, file_id, pos, name, trim(CASE WHEN starts_with(cell, '"') THEN replace(substr(cell, 2, length(cell) - 2), '""', '"') ELSE cell END) AS v FROM x),
 y AS (SELECT *, CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN 1 WHEN regexp_full_match(v, '[+-]?(?:[0-9]+\\.[0-9]*|\\.[0-9]+|Infinity)|NaN') THEN 2 ELSE 3 END AS k FROM v WHERE v <> ''),
 f AS (SELECT file_id, pos, min(name) AS name, count(*) AS n, count(*) FILTER (k = 1) AS i, count(*) FILTER (k = 2) AS dc, count(*) FILTER (k = 3 AND {CANON.replace('attack_type', 'v')} <> 'unknown') AS cl, count(*) FILTER (k = 1 AND length(v) <= 2) AS ids FROM y GROUP BY ALL),
-z AS (SELECT file_id, pos, CASE WHEN i * 10 >= n * 9 THEN 1 WHEN (i + dc) * 10 >= n * 9 THEN 2 ELSE 3 END AS kind, cl * 2 >= n OR (regexp_replace(name, '^f_', '') IN ({LABELS}) AND (cl + ids) * 2 >= n) AS label FROM f),
+z AS (SELECT file_id, pos, CASE WHEN i * 10 >= n * 9 THEN 1 WHEN (i + dc) * 10 >= n * 9 THEN 2 ELSE 3 END AS kind, cl * 2 >= n OR (regexp_matches(name, '{LABEL_WORDS}') AND (cl + ids) * 2 >= n) AS label FROM f),
 bad AS (SELECT DISTINCT line_id FROM y JOIN z USING (file_id, pos) WHERE k > kind OR (label AND NOT ({KNOWN} OR (regexp_full_match(v, '\\+?[0-9]+') AND coalesce(try_cast(v AS BIGINT), 99) < 16)))),
 u AS (SELECT node_id, CASE WHEN starts_with(s, '{{') THEN regexp_extract(s, '^\\{{\\s*"type"\\s*:\\s*\\d+\\s*,\\s*"values"\\s*:\\s*((?s:.*?))\\s*\\}}$', 1) ELSE s END AS s FROM (SELECT node_id, regexp_replace(features, '^\\s+|\\s+$', '', 'g') AS s FROM phase2_features WHERE features IS NOT NULL)),
 q AS (SELECT node_id, CASE WHEN length(s) >= 2 AND s[1] = '[' AND s[-1] = ']' AND NOT regexp_matches(substr(s, 2, length(s) - 2), '[\\[\\]"'']') THEN string_split(substr(s, 2, length(s) - 2), ',') END AS e FROM u),

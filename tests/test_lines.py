@@ -178,3 +178,24 @@ def test_vector_errors(spark):
 def test_damaged_repeat_of_a_node(spark):
     df = spark.createDataFrame([(1, "[1,2"), (1, "[1,2,3]"), (1, None), (2, "[1,2,x]"), (2, "[1,2]")], "node_id long, features string")
     assert [(r["node_id"], r["vector"]) for r in badrows.parsed_vectors(df, "node_id", "features", 3).collect()] == [(1, [1.0, 2.0, 3.0])]
+
+
+def test_text_field_renamed_to_another_name(spark):
+    """The same texts under a name that is nothing like the old one are a rename; other texts are not."""
+    protocols = ["tcp", "udp", "icmp", "gre", "esp"]
+    lines = []
+    for f, (name, values) in enumerate([("proto", protocols), ("zzz", protocols), ("qqq", ["alpha", "beta", "gamma", "delta", "omega"])], 1):
+        lines += [(100 * f, f, 1, f"dur,{name}")] + [(100 * f + i, f, i + 1, f"{i * 7},{values[i % 5]}") for i in range(1, 30)]
+    raw = spark.createDataFrame(lines, "line_id long, file_id long, line_no int, line_text string")
+    files = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 3)], "file_id long, feed_id long, file_seq int")
+    got = {tuple(r) for r in drift.schema_changes(raw, files).collect()}
+    assert got == {(2, "renamed", "proto", "zzz"), (3, "removed", "zzz", ""), (3, "added", "", "qqq")}
+
+
+def test_repeated_header_names(spark):
+    """A header that holds a name twice and the name its repeat would get: every cell keeps a key of its own."""
+    lines = [(10, 1, 1, "a,a,a_1,Label"), (11, 1, 2, "1,2,3,benign"), (12, 1, 3, "4,5,6,bot")]
+    raw = spark.createDataFrame(lines, "line_id long, file_id long, line_no int, line_text string")
+    files = spark.createDataFrame([(1, 7, 1)], "file_id long, feed_id long, file_seq int")
+    got = {r["line_id"]: r["flow"].asDict() for r in drift.unified_table(raw, files).collect()}
+    assert sorted(v for k, v in got[11].items() if k != "label") == [1, 2, 3] and got[12]["label"] == "bot"

@@ -107,15 +107,15 @@ def _nothing() -> pd.DataFrame:
     return pd.DataFrame({"src": pd.Series(dtype="int64"), "dst": pd.Series(dtype="int64"), "weight": pd.Series(dtype="float64")})
 
 
-def exact_knn(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", threshold: float | None = None, block_rows: int = 4096, digits: int = 6) -> DataFrame:
+def exact_knn(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosine", threshold: float | None = None, blocks: int | None = None, block_rows: int = 4096, digits: int = 6) -> DataFrame:
     """(src, dst, weight): the k nearest others of every vector, exactly, by blocks of matrix products.
 
-    metric cosine (larger is nearer) or l2 (smaller is nearer). Scores are rounded, ties go to the smaller id. Blocks hold
-    about block_rows vectors whatever their number. Work is quadratic: for collections too large for that use knn_ivf, or
+    metric cosine (larger is nearer) or l2 (smaller is nearer). Scores are rounded, ties go to the smaller id. Unless
+    their number is given, blocks hold about block_rows vectors however many there are. Work is quadratic: for collections too large for that use knn_ivf, or
     the graph index of the training-data package.
     """
     v = df.select(F.col(key).alias("id"), clean_vector(F.col(vector)).alias("x"))
-    blocks = max(1, math.ceil(v.count() / block_rows))
+    blocks = blocks or max(1, math.ceil(v.count() / block_rows))
     v = v.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     queries, base = v.withColumnRenamed("b", "qb").withColumn("b", each), v.withColumn("qb", each)

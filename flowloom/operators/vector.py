@@ -130,6 +130,11 @@ def exact_knn(df: DataFrame, key: str, vector: str, k: int, metric: str = "cosin
     return out
 
 
+def distinct_vectors(v: DataFrame) -> DataFrame:
+    """(id, x): every distinct vector once, with the smallest id of its copies."""
+    return v.groupBy("x").agg(F.min("id").alias("id")).select("id", "x")
+
+
 def knn_ivf(df: DataFrame, key: str, vector: str, k: int, cells: int = 16, probes: int = 4, sample: int = 20_000, threshold: float | None = None, block_rows: int = 8192) -> DataFrame:
     """(src, dst, weight): approximate k nearest by cosine. Cells come from KMeans on about `sample` vectors at most; every
     vector is indexed in its nearest cell and looked up in its `probes` nearest ones; all probes = exact.
@@ -142,7 +147,7 @@ def knn_ivf(df: DataFrame, key: str, vector: str, k: int, cells: int = 16, probe
     from pyspark.ml.functions import array_to_vector
 
     v = df.select(F.col(key).alias("id"), l2_normalised(clean_vector(F.col(vector))).alias("x"))
-    classes = checkpointed(v.groupBy("x").agg(F.min("id").alias("id")).select("id", "x")).toDF("id", "x")
+    classes = checkpointed(distinct_vectors(v)).toDF("id", "x")
     n = classes.count()
     if not n:
         return df.sparkSession.createDataFrame([], "src long, dst long, weight double")

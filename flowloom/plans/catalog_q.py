@@ -582,8 +582,12 @@ def q_throughput(s, d):
 def q_pct_vs_first(s, d):
     # the first row of each user by a partial aggregate, joined back: no window over a hot user
     e = ev(s, d).select("event_id", "user_id", "value")
-    first = e.groupBy("user_id").agg(F.min_by("value", "event_id").alias("f"))
-    return e.join(first, "user_id").select("event_id", "user_id", F.round((F.col("value") - F.col("f")) / F.col("f") * 100, 1).alias("pct"))
+    # a missing id is the last
+    first = e.groupBy(F.col("user_id").alias("u")).agg(F.min_by("value", F.coalesce("event_id", F.lit(2**63 - 1))).alias("f"))
+    v, f = F.col("value"), F.col("f")
+    # 0 ** -1 is infinite with the sign of the zero, where a division would be an error
+    pct = F.when(f == 0, (v - f) * F.pow(f, F.lit(-1.0))).otherwise((v - f) / f * 100)
+    return e.join(first, F.col("user_id").eqNullSafe(F.col("u"))).select("event_id", "user_id", F.round(pct, 1).alias("pct"))
 
 
 @query("SELECT event_id, round(least(value / (SELECT max(value) FROM events), 1.0), 6) AS share FROM events")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -83,3 +84,36 @@ def test_cosine_is_of_unit_vectors(spark):
     got = {r["other_key"]: r["cosine"] for r in overlap.overlap_pairs(spark.createDataFrame(rows, SCHEMA), "node_id", "features", "split").collect()}
     # twelve terms of equal weight, one of them missed
     assert abs(got[2] - 1) < 1e-9 and abs(got[3] - (11 / 12) ** 0.5) < 1e-9
+
+
+def shuffled(spark) -> int:
+    return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+def test_little_is_shuffled_beside_the_vectors(spark, tmp_path):
+    """Less than half the bytes of the vectors, which are not sent themselves: 6,000 of 312 bytes."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(6000, 78)).round(2).astype(np.float32)
+    x[5900:] = x[:100] + np.float32(0.03)
+    rows = [(i, "train" if i < 4000 else "test", v.tolist()) for i, v in enumerate(x)]
+    path = str(tmp_path / "v")
+    spark.createDataFrame(rows, "node_id long, split string, features array<float>").repartition(4).write.parquet(path)
+    before = shuffled(spark)
+    got = {(r["train_key"], r["other_key"]) for r in overlap.overlap_pairs(spark.read.parquet(path), "node_id", "features", "split").collect()}
+    assert got == {(i, 5900 + i) for i in range(100)}
+    assert shuffled(spark) - before < 6000 * 312 // 2
+
+
+def test_huge_values_and_sketches_lose_nothing(spark):
+    r = random.Random(4)
+    base = [[r.choice([1e30, -3e38, 1e17, r.gauss(0, 1)]) for _ in range(78)] for _ in range(20)]
+    rows = []
+    for i in range(200):
+        x = list(r.choice(base))
+        for p in r.sample(range(78), r.choice([0, 2, 4, 5])):
+            x[p] = r.choice([float("nan"), 5.0, -1e30])
+        rows.append((i, r.choice(["train", "val"]), [v + r.choice([0, 0.07]) for v in x], "", ""))
+    df = spark.createDataFrame(rows, SCHEMA.replace("array<float>", "array<double>"))
+    got = {(r["train_key"], r["other_key"]) for r in overlap.overlap_pairs(df, "node_id", "features", "split").collect()}
+    want = brute(rows, 78, 0.075001)
+    assert len(want) > 100 and got == want

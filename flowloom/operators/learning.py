@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -109,17 +110,30 @@ def component_ablation(nodes: DataFrame, edges: DataFrame, size: int, classes: i
     most = {}
     for relations, hops, _, _ in components.values():
         most[relations] = max(hops, most.get(relations, 0))
-    x = {r: checkpointed(graph.sign_features(graph.symmetric_norm(nodes, edges.where(F.col("edge_type_id").isin(*r))), nodes.select("node_id", "features"), "features", h)) for r, h in most.items()}
     n = checkpointed(nodes.where("split = 'train'").groupBy("label").agg(F.count("*").alias("n")))
     weights = class_weights(n, "n", 0.5).select("label", "weight")
+    scores = {}
+    # one set of relations after the other, scored at once: its features are written once, with all that a configuration
+    # needs besides, so that configurations are slices of the rows where they lie, and go before the next set's are written
+    for relations, h in most.items():
+        x = graph.sign_features(graph.symmetric_norm(nodes, edges.where(F.col("edge_type_id").isin(*relations))), nodes.select("node_id", "features"), "features", h)
+        d = nodes.select("node_id", "split", "label").join(x, "node_id")
+        d = checkpointed(d.join(F.broadcast(weights), "label", "left").fillna(1.0, ["weight"]).where("split in ('train', 'test')").select("split", "label", "weight", "features"))
+        for name, (own, hops, bypass, weighted) in components.items():
+            if own != relations:
+                continue
+            first = 1 if bypass or not hops else size + 1
+            width = size * (hops + 1) - first + 1
+            c = with_vector(d.withColumn("features", F.slice("features", first, width)), "features")
+            model = baseline(learner, width, classes, weight="weight" if weighted else None)
+            scores[name] = checkpointed(fit_and_score(c.where("split = 'train'"), c.where("split = 'test'"), model)[1].withColumn("configuration", F.lit(name)))
+        # written files go with the objects that refer to them
+        del x, d, c, model
+        gc.collect()
+        nodes.sparkSession.sparkContext._jvm.System.gc()
     out = None
-    for name, (relations, hops, bypass, weighted) in components.items():
-        first = 1 if bypass or not hops else size + 1
-        d = nodes.select("node_id", "split", "label").join(x[relations], "node_id").withColumn("features", F.slice("features", first, size * (hops + 1) - first + 1))
-        d = with_vector(d.join(F.broadcast(weights), "label", "left").fillna(1.0, ["weight"]), "features")
-        model = baseline(learner, size * (hops + 1) - first + 1, classes, weight="weight" if weighted else None)
-        score = fit_and_score(d.where("split = 'train'"), d.where("split = 'test'"), model)[1].withColumn("configuration", F.lit(name))
-        out = score if out is None else out.unionByName(score)
+    for name in components:
+        out = scores[name] if out is None else out.unionByName(scores[name])
     return out
 
 

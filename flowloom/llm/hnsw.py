@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.llm.close import close_pairs
 from flowloom.session import checkpointed
 
 CLASS = ["h1", "h2"]
@@ -348,9 +349,13 @@ def nearest_classes(
 def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, min_cosine: float | None = None, size: int = 78, shard_rows: int = 25_000, min_shards: int = 4, spare: int = 3, **kw) -> DataFrame:
     """(key, neighbour, cosine): the k most similar others of every record, exact cosines, ties by the smaller id.
 
-    With min_cosine, neighbours below it are left out. `spare` more candidates than k are compared exactly, as the search
-    orders by float32. Further options as in nearest_classes.
+    With min_cosine, neighbours below it are left out; unless vectors are crowded or an option of the search is given, all
+    pairs above it are found without loss (close.py). Else `spare` more candidates than k are compared exactly, as the
+    search orders by float32. Further options as in nearest_classes.
     """
+    pairs = close_pairs(df, key, vector, min_cosine, size) if min_cosine is not None and not kw else None
+    if pairs is not None:
+        return _nearest(*pairs, key, k)
     rows = df.where(F.size(vector) == size).select(F.col(key).alias("id"), cleaned(F.col(vector), size).alias("x"))
     rows = rows.withColumn("h1", F.xxhash64("x")).withColumn("h2", F.xxhash64(F.lit(7), F.col("x")))
     # of a class of copies only the k + 1 smallest ids can be among anyone's k nearest
@@ -370,7 +375,11 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, min_cosine:
     links = exact.unionByName(own)
     if min_cosine is not None:
         links = links.where(F.col("cosine") >= min_cosine)
-    ids = rows.select("id", *CLASS)
+    return _nearest(links, rows.select("id", *CLASS), key, k)
+
+
+def _nearest(links: DataFrame, ids: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, neighbour, cosine): the k best others of every member (id, h1, h2), of linked classes (h1, h2, g1, g2, cosine)."""
     lowest = _lowest(ids, k + 1)
     lists = links.join(lowest.toDF("g1", "g2", "ids"), ["g1", "g2"])
     # the candidates of a class, shared by all its members
